@@ -1,6 +1,6 @@
 """Text cut off by field limits (problem 8).
 
-All words of the corpus, alone and after each context of one to three words, form a trie kept
+All words of the corpus, alone and after each context of one to four words, form a trie kept
 as a table of nodes keyed by (context, prefix). A text's last token is looked up there: how
 often does the corpus stop after it, how often does it go on, and how often does a longer word
 stand that begins like it? Where the corpus almost always goes on, the text was cut. The
@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 from weftline.functions.scale import cut
 
 #: Words before the last token that make a context.
-CONTEXTS = (1, 2, 3)
+CONTEXTS = (1, 2, 3, 4)
 #: The filter of wanted contexts has this many bits, whatever the number of documents.
 FILTER_BITS = 1 << 25
 #: Occurrences that make a context count; below it the next shorter one decides.
 SUPPORT = 4
 #: A text is cut if the corpus stops there in less than this share of cases, by length evidence.
 SHARE, SHARE_AT_LIMIT, SHARE_MARKED = 0.5, 0.9, 0.05
+#: Other texts that end the same way, and how many per occurrence that goes on, make an ending
+#: usual. Cuts fall anywhere, so they repeat one and the same place far less often.
+USUAL_TEXTS, USUAL_RATIO = 5, 0.1
 #: A source has a limit if this many texts, and this share of them, are as long as its longest.
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
 #: A cut between words, or one that left a mark, ends at most this far before the limit.
@@ -38,12 +41,12 @@ _STOPS = frozenset(".?!…\n")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 TAILS = "doc_id long, source string, chars long, bytes long, mark string, ending string, k int, ctx long, last string"
-STATS = "k int, ctx long, word string, stops long, goes long"
+STATS = "k int, ctx long, word string, stops long, ends long, goes long"
 
 
 def tokens_of(text: str) -> list[str]:
-    """Words in lower case, numbers as `0`, line ends as one token, other signs one by one."""
-    return ["\n" if t[0] == "\n" else "0" if t.isdigit() else t.lower() for t in _TOKEN.findall(text)]
+    """Words, numbers as `0`, line ends as one token, other signs one by one."""
+    return ["\n" if t[0] == "\n" else "0" if t.isdigit() else t for t in _TOKEN.findall(text)]
 
 
 def without_mark(text: str) -> tuple[str, str]:
@@ -130,7 +133,7 @@ def _spark_filter_slots(k: int, ctx: np.ndarray) -> np.ndarray:
 
 def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
     """How often each word stands, stops and goes on, in the wanted contexts and without one:
-    ``k, ctx, word, stops, goes``, counted over all texts and aggregated per batch before the shuffle."""
+    ``k, ctx, word, stops, ends, goes`` (before a stop, at the end of a text, before more), counted over all texts and aggregated per batch before the shuffle."""
     held = documents.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def run(batches):
@@ -151,12 +154,12 @@ def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
                 line.append(len(x))
                 flags += [y in _STOPS for y in x[1:]]
                 if x:
-                    flags.append(True)
+                    flags.append(2)
             if not at:
                 continue
             if len(names) > len(hashes):
                 hashes = np.concatenate([hashes, np.array([_hash([w]) for w in names[len(hashes) :]], dtype=np.uint64)])
-            word, stop = np.array(at), np.array(flags)
+            word, stop = np.array(at), np.array(flags, dtype=np.int64)
             place = np.arange(len(word)) - np.repeat(np.cumsum([0, *line[:-1]]), line)
             h = hashes[word]
             yield from _stat_rows(0, np.zeros(len(word), dtype=np.int64), word, stop, names)
@@ -178,7 +181,7 @@ def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
                 ids, names, hashes = {}, [], np.zeros(0, dtype=np.uint64)
 
     one = documents.where("text IS NOT NULL AND text <> ''").select("text").mapInArrow(run, STATS)
-    return one.groupBy("k", "ctx", "word").agg(F.sum("stops").alias("stops"), F.sum("goes").alias("goes"))
+    return one.groupBy("k", "ctx", "word").agg(*(F.sum(c).alias(c) for c in ("stops", "ends", "goes")))
 
 
 def _stat_rows(k: int, ctx: np.ndarray, word: np.ndarray, stop: np.ndarray, names: list[str]):
@@ -187,11 +190,10 @@ def _stat_rows(k: int, ctx: np.ndarray, word: np.ndarray, stop: np.ndarray, name
     pairs = np.stack([ctx, word.astype(np.int64)], axis=1)
     keys, inverse = np.unique(pairs, axis=0, return_inverse=True)
     inverse = inverse.ravel()
-    stops = np.bincount(inverse, weights=stop, minlength=len(keys)).astype(np.int64)
-    every = np.bincount(inverse, minlength=len(keys))
+    goes, stops, ends = (np.bincount(inverse[stop == f], minlength=len(keys)) for f in (0, 1, 2))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys[:, 0]), pa.array([names[i] for i in keys[:, 1]], pa.string()), pa.array(stops), pa.array(every - stops)],
-        names=["k", "ctx", "word", "stops", "goes"],
+        [pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys[:, 0]), pa.array([names[i] for i in keys[:, 1]], pa.string()), pa.array(stops), pa.array(ends), pa.array(goes)],
+        names=["k", "ctx", "word", "stops", "ends", "goes"],
     )
 
 
@@ -204,9 +206,9 @@ def trie(stats: DataFrame) -> DataFrame:
     on, and how often a longer word stands there."""
     depth = F.least(F.length("word"), F.lit(TRIE_DEPTH))
     prefixes = F.array_union(F.transform(F.sequence(F.lit(1), depth), lambda n: F.substring("word", F.lit(1), n)), F.array("word"))
-    nodes = stats.where(F.length("word") > 0).select("k", "ctx", F.col("word"), "stops", "goes", F.explode(prefixes).alias("last"))
+    nodes = stats.where(F.length("word") > 0).select("k", "ctx", F.col("word"), "stops", "ends", "goes", F.explode(prefixes).alias("last"))
     own = F.col("last") == F.col("word")
-    return nodes.groupBy("k", "ctx", "last").agg(F.sum(F.when(own, F.col("stops")).otherwise(0)).alias("stops"), F.sum(F.when(own, F.col("goes")).otherwise(0)).alias("goes"), F.sum(F.when(own, 0).otherwise(F.col("stops") + F.col("goes"))).alias("longer"))
+    return nodes.groupBy("k", "ctx", "last").agg(*(F.sum(F.when(own, F.col(c)).otherwise(0)).alias(c) for c in ("stops", "ends", "goes")), F.sum(F.when(own, 0).otherwise(F.col("stops") + F.col("ends") + F.col("goes"))).alias("longer"))
 
 
 def limits(ends: DataFrame) -> DataFrame:
@@ -235,9 +237,13 @@ def truncated(documents: DataFrame) -> DataFrame:
     open_tails = found.where("ending = 'open'")
     nodes = trie(corpus_stats(documents, _filter(open_tails)))
     asked = open_tails.groupBy("k", "ctx", "last").agg(F.count(F.lit(1)).alias("asked"))
-    told = asked.join(nodes, ["k", "ctx", "last"]).select("k", "ctx", "last", (F.col("stops") - 1).alias("stops"), (F.col("stops") + F.col("goes") + F.col("longer") - 1).alias("n"))
-    share = F.col("stops") / F.col("n")
-    per_tail = open_tails.select("doc_id", "k", "ctx", "last").join(told.where(F.col("n") >= SUPPORT), ["k", "ctx", "last"]).groupBy("doc_id").agg(F.max(F.struct("k", share.alias("share"))).alias("s"))
+    # The text's own end is no evidence for itself.
+    others = F.col("ends") - 1
+    n = F.col("stops") + others + F.col("goes") + F.col("longer")
+    usual = (others >= USUAL_TEXTS) & (others >= USUAL_RATIO * (F.col("goes") + F.col("longer")))
+    share = F.when(usual, 1.0).otherwise((F.col("stops") + others) / n)
+    told = asked.join(nodes, ["k", "ctx", "last"]).where(n >= SUPPORT).select("k", "ctx", "last", share.alias("share"))
+    per_tail = open_tails.select("doc_id", "k", "ctx", "last").join(told, ["k", "ctx", "last"]).groupBy("doc_id").agg(F.max(F.struct("k", "share")).alias("s"))
     rows = ends.select("doc_id", "source", "chars", "bytes", "mark", "ending").join(limits(ends), "source").join(per_tail, "doc_id", "left")
     return rows.withColumns({"share": F.col("s.share"), "depth": F.col("s.k"), "at_limit": _at_limit()}).where(_is_cut()).select("doc_id", "source", "mark", "at_limit", "share")
 
