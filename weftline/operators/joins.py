@@ -121,7 +121,8 @@ def route_join(calls: DataFrame, routes: DataFrame, method: str = "method", path
     forms = seg.select("method", "path", F.explode(masks).alias("m"), "s").select("method", "path", F.array_join(F.transform("s", lambda x, i: F.when(F.pmod(F.floor(F.col("m") / F.pow(F.lit(2), i)), F.lit(2)) == 1, F.lit("{}")).otherwise(x)), "/").alias("k")).distinct()
     hit = forms.join(r, "k").where(F.col("rm").isNull() | (F.col("rm") == F.col("method")) | F.col("method").isNull())
     per = hit.groupBy("method", "path").agg(F.countDistinct("k").alias("n"), F.min("route").alias("route"))
-    out = c.join(per, (c.method.eqNullSafe(per.method)) & (c.path == per.path), "left").select(c.method, c.path, F.coalesce("n", F.lit(0)).alias("routes"), "route")
+    per = per.withColumnsRenamed({"method": "_m", "path": "_p"})
+    out = c.join(per, F.col("method").eqNullSafe(F.col("_m")) & (F.col("path") == F.col("_p")), "left").select("method", "path", F.coalesce("n", F.lit(0)).alias("routes"), "route")
     return out.select("method", "path", "routes", F.when(F.col("routes") == 1, F.col("route")).alias("route"), F.when(F.col("routes") == 0, "no_route").when(F.col("routes") == 1, "edge").otherwise("ambiguous").alias("outcome"))
 
 
