@@ -106,3 +106,15 @@ def is_broad(c: Column) -> Column:
     """Too broad for one statement: 60 words in two sentences, three sentences, or 70 words."""
     w, s = word_count(c), sentence_count(c)
     return ((w >= 60) & (s >= 2)) | (s >= 3) | (w >= 70)
+
+
+def has_prefixes(word_list: Column, terms: list[str]) -> Column:
+    """Is every term the beginning of some word? No terms match everything."""
+    out = F.lit(True)
+    for term in terms:
+        out = out & F.exists(word_list, _starts(term))
+    return out
+
+
+def _starts(term: str):
+    return lambda w: w.startswith(term)

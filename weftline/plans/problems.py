@@ -36,10 +36,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Full path, chain and preorder interval of every node: its descendants are the nodes of
-    its root with ``tree_pre`` in ``(tree_pre, tree_pre + subtree)``."""
-    out = hierarchy.unkey(hierarchy.hierarchy(_graphs(spark, sf), paths=True, intervals=True))
-    return out.select("graph", "source", "node_id", "root_id", "depth", F.coalesce("path", F.lit("")).alias("path"), "tree_pre", "subtree")
+    """Full path of every node; empty for nodes on and below loops."""
+    out = hierarchy.unkey(hierarchy.hierarchy(_graphs(spark, sf), paths=True))
+    return out.select("graph", "source", "node_id", "root_id", "depth", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """All descendants of every node, as intervals: those of a node are the nodes of its root
+    with ``tree_pre`` above its own and below ``tree_pre + subtree``."""
+    out = hierarchy.unkey(hierarchy.hierarchy(_graphs(spark, sf), intervals=True))
+    return out.select("graph", "source", "node_id", "root_id", "tree_pre", "subtree")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +75,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("doc").alias("manifest_id"), "child", "parent_ordinal", "ordinal", F.coalesce(item, F.lit("")).alias("item"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_brds, p2_found, p2_paths, p3_found, p3_values, p4_found, p4_counts, p5_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_brds, p2_found, p2_paths, p2_descendants, p3_found, p3_values, p4_found, p4_counts, p5_found)}
 
 _P3 = r"""
 WITH n AS (
@@ -144,6 +150,7 @@ lost AS (SELECT r.graph, r.source, r.node_id, '' AS root_id, CASE WHEN o.node_id
 
 SQL: dict[str, str] = {
     "p2_found": _P2 + "SELECT graph, source, node_id, root_id, depth FROM tree UNION ALL SELECT * FROM lost",
+    "p2_paths": _P2 + "SELECT graph, source, node_id, root_id, depth, path FROM tree UNION ALL SELECT graph, source, node_id, root_id, depth, '' FROM lost",
     "p3_found": _P3 + "SELECT snapshot_no, promise, change FROM j",
     "p3_values": _P3 + "SELECT * FROM j",
     "p4_found": _P4 + "SELECT * FROM f",
