@@ -128,14 +128,25 @@ def _admissible(places: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+#: Longer words are words run together.
+RUN_TOGETHER = 24
+
+
 def _mend(doc: list[str], known: set[str]) -> list[str]:
-    """Join two neighbours that are one of the item's words broken in two, and part two of its words that run together."""
+    """Join two neighbours that are one of the item's words broken in two, and part item words that run together."""
     out: list[str] = []
+    inside = None
     for w in doc:
-        if w not in known and (cut_at := next((i for i in range(1, len(w)) if w[:i] in known and w[i:] in known), 0)):
+        if len(w) > RUN_TOGETHER and w not in known:
+            inside = inside or re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True))))
+            at = 0
+            for m in inside.finditer(w):
+                out += [w[at : m.start()], m[0]] if m.start() > at else [m[0]]
+                at = m.end()
+            out += [w[at:]] if at < len(w) else []
+        elif w not in known and (cut_at := next((i for i in range(1, len(w)) if w[:i] in known and w[i:] in known), 0)):
             out += [w[:cut_at], w[cut_at:]]
-            continue
-        if out and (w not in known or out[-1] not in known) and out[-1] + w in known:
+        elif out and (w not in known or out[-1] not in known) and out[-1] + w in known:
             out[-1] += w
         else:
             out.append(w)
@@ -176,7 +187,8 @@ def _search(documents: DataFrame, shingles: list[str], least: int) -> DataFrame:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)
-                hits = {n for _, n in find.iter("".join(words))} if len(words) >= STRETCH else ()
+                stream = "".join(words)
+                hits = {n for _, n in find.iter(stream)} if len(stream) >= LEAST_WORDS * (ONE_IN - 1) // ONE_IN else ()
                 if len(hits) >= least:
                     rows.append((doc, " ".join(words), sorted(hits)))
             if rows:
@@ -219,7 +231,7 @@ def _block_leaks(documents: DataFrame, items: list[tuple[int, list[str]]]) -> Da
                 for item in cands:
                     wanted = needed(len(text[item]))
                     # Length bound, then the count of shared shingles, then the words themselves.
-                    if len(doc_words) * ONE_IN < wanted * (ONE_IN - 1) or len(own_of[item] & held) < shared[item]:
+                    if len(words) * ONE_IN < wanted * (ONE_IN - 1) or len(own_of[item] & held) < shared[item]:
                         continue
                     if (n := holds(text[item], doc_words)) >= wanted:
                         rows.append((doc, item, n, len(text[item])))
