@@ -10,6 +10,7 @@ length adds its evidence: sources with a field limit show many texts just as lon
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,10 @@ def _tail_rows(ids, texts, sources):
             continue
         core, mark = without_mark(text)
         size = len(text), len(text.encode("utf-8", "replace"))
-        x = tokens_of(core[-2000:])
+        ending = "fence" if core.count("```") % 2 else "lost" if core.endswith("�") else "stop" if core[-1:] in (".", "?", "!") else "open"
+        x = tokens_of(core[-2000:]) if ending == "open" else [core[-1:]]
         if not x:
             continue
-        ending = "fence" if core.count("```") % 2 else "lost" if core.endswith("�") else "stop" if x[-1] in ".?!" else "open"
         # A whole ending needs no context; its row is there for the sources' limits and shares.
         if ending == "open":
             for k in (0, *CONTEXTS):
@@ -138,61 +139,68 @@ def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
 
     def run(batches):
         bits = np.frombuffer(held.value, dtype=np.uint8)
-        ids: dict[str, int] = {}
-        names: list[str] = []
-        hashes = np.zeros(0, dtype=np.uint64)
+        raw: defaultdict[str, int] = defaultdict()
+        raw.default_factory = raw.__len__
+        seen, names = [], {}
+        canon, hashes, stopping = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
         for b in batches:
-            at, flags, line = [], [], []
+            at: list[int] = []
+            line = []
             for text in b.column(0).to_pylist():
-                x = tokens_of(without_mark(text)[0])
-                for i, w in enumerate(x):
-                    n = ids.get(w)
-                    if n is None:
-                        n = ids[w] = len(names)
-                        names.append(w)
-                    at.append(n)
-                line.append(len(x))
-                flags += [y in _STOPS for y in x[1:]]
-                if x:
-                    flags.append(2)
+                n = len(at)
+                at.extend(map(raw.__getitem__, _TOKEN.findall(without_mark(text)[0])))
+                if len(at) > n:
+                    line.append(len(at) - n)
             if not at:
                 continue
-            if len(names) > len(hashes):
-                hashes = np.concatenate([hashes, np.array([_hash([w]) for w in names[len(hashes) :]], dtype=np.uint64)])
-            word, stop = np.array(at), np.array(flags, dtype=np.int64)
+            # Tokens met for the first time get the number, hash and kind of their plain form.
+            fresh = list(raw)[len(canon) :]
+            plain = [tokens_of(t)[0] for t in fresh]
+            for w in plain:
+                if w not in names:
+                    names[w] = len(seen)
+                    seen.append(w)
+            canon = np.concatenate([canon, np.array([names[w] for w in plain], np.int64)])
+            added = seen[len(hashes) :]
+            hashes = np.concatenate([hashes, np.array([_hash([w]) for w in added], np.uint64)])
+            stopping = np.concatenate([stopping, np.array([w in _STOPS for w in added], np.int8)])
+            word = canon[np.array(at)]
+            # 0: more follows, 1: a stop follows, 2: the text ends here.
+            flag = np.concatenate([stopping[word[1:]], np.zeros(1, np.int8)])
+            flag[np.cumsum(line) - 1] = 2
             place = np.arange(len(word)) - np.repeat(np.cumsum([0, *line[:-1]]), line)
-            h = hashes[word]
-            yield from _stat_rows(0, np.zeros(len(word), dtype=np.int64), word, stop, names)
-            ctx = np.zeros(len(word), dtype=np.uint64)
+            h, vocabulary = hashes[word], pa.array(seen, pa.string())
+            yield _stat_rows(0, np.zeros(len(word), np.uint64), word, flag, vocabulary)
+            ctx, power = np.zeros(len(word), np.uint64), np.uint64(1)
             with np.errstate(over="ignore"):
                 for k in CONTEXTS:
                     # The hash of the k words before: sum of h[i-j] * SEED^(j-1).
-                    shifted = np.concatenate([np.zeros(k, dtype=np.uint64), h[:-k]]) if len(h) > k else np.zeros(len(h), dtype=np.uint64)
-                    power = np.uint64(1)
-                    for _ in range(k - 1):
-                        power = power * _SEED
-                    ctx = ctx + shifted * power
-                    ok = place >= k
-                    slot = _spark_filter_slots(k, ctx.astype(np.int64)[ok])
-                    hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-                    keep = np.flatnonzero(ok)[hit.astype(bool)]
-                    yield from _stat_rows(k, ctx.astype(np.int64)[keep], word[keep], stop[keep], names)
-            if len(names) > 2_000_000:  # bounds a worker's memory on endless vocabularies
-                ids, names, hashes = {}, [], np.zeros(0, dtype=np.uint64)
+                    ctx[k:] += h[:-k] * power
+                    power = power * _SEED
+                    ok = np.flatnonzero(place >= k)
+                    slot = _spark_filter_slots(k, ctx[ok].view(np.int64))
+                    keep = ok[((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)]
+                    yield _stat_rows(k, ctx[keep], word[keep], flag[keep], vocabulary)
+            if len(seen) > 2_000_000:  # bounds a worker's memory on endless vocabularies
+                raw.clear()
+                seen, names = [], {}
+                canon, hashes, stopping = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
     one = documents.where("text IS NOT NULL AND text <> ''").select("text").mapInArrow(run, STATS)
     return one.groupBy("k", "ctx", "word").agg(*(F.sum(c).alias(c) for c in ("stops", "ends", "goes")))
 
 
-def _stat_rows(k: int, ctx: np.ndarray, word: np.ndarray, stop: np.ndarray, names: list[str]):
-    if not len(word):
-        return
-    pairs = np.stack([ctx, word.astype(np.int64)], axis=1)
-    keys, inverse = np.unique(pairs, axis=0, return_inverse=True)
-    inverse = inverse.ravel()
-    goes, stops, ends = (np.bincount(inverse[stop == f], minlength=len(keys)) for f in (0, 1, 2))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys[:, 0]), pa.array([names[i] for i in keys[:, 1]], pa.string()), pa.array(stops), pa.array(ends), pa.array(goes)],
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _stat_rows(k: int, ctx: np.ndarray, word: np.ndarray, flag: np.ndarray, vocabulary: pa.Array) -> pa.RecordBatch:
+    """Counts per (context, word); grouped by a 64-bit mix of both, as contexts are by a 64-bit hash."""
+    with np.errstate(over="ignore"):
+        key = (ctx + np.uint64(1)) * _MIX ^ word.astype(np.uint64) * _SEED
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    goes, stops, ends = (np.bincount(inverse[flag == f], minlength=len(first)) for f in (0, 1, 2))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(first), k, np.int32)), pa.array(ctx[first].view(np.int64)), vocabulary.take(pa.array(word[first])), pa.array(stops), pa.array(ends), pa.array(goes)],
         names=["k", "ctx", "word", "stops", "ends", "goes"],
     )
 
