@@ -13,6 +13,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -197,7 +198,9 @@ def _stat_rows(k: int, ctx: np.ndarray, word: np.ndarray, flag: np.ndarray, voca
     """Counts per (context, word); grouped by a 64-bit mix of both, as contexts are by a 64-bit hash."""
     with np.errstate(over="ignore"):
         key = (ctx + np.uint64(1)) * _MIX ^ word.astype(np.uint64) * _SEED
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    inverse, keys = pd.factorize(key)
+    first = np.zeros(len(keys), np.int64)
+    first[inverse[::-1]] = np.arange(len(key) - 1, -1, -1)
     goes, stops, ends = (np.bincount(inverse[flag == f], minlength=len(first)) for f in (0, 1, 2))
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(first), k, np.int32)), pa.array(ctx[first].view(np.int64)), vocabulary.take(pa.array(word[first])), pa.array(stops), pa.array(ends), pa.array(goes)],
