@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import cut
+from weftline.functions.scale import cut, drop
 
 ON_LOOP, BELOW_LOOP = -1, -2
 #: 2^62 levels are never reached; guards against a fault in the loops below.
@@ -27,58 +27,92 @@ MOST_ROUNDS = 62
 SIBLING_GROUPS = 64
 
 
-def _count(df: DataFrame) -> int:
-    return df.count()
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """``id, pid, k, label``: keys as 64-bit hashes, which make the rounds' rows small. Where two
+    keys share a hash (checked) another seed is taken, so the numbers are exact."""
+    for seed in range(100):
+        at = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
+        out = cut(nodes.select(at(F.col("k")).alias("id"), F.when(F.col("parent").isNotNull(), at(F.col("parent"))).alias("pid"), "k", "label"))
+        if out.groupBy("id").count().where("count > 1").isEmpty():
+            return out
+        drop(out)
+    raise ValueError("keys are not distinct")
 
 
-def separate(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``nodes (k, parent)`` with distinct ``k``; ``parent`` null or another ``k``.
+def separate(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``nodes (id, pid)`` with distinct ``id``; ``pid`` null or another ``id``.
 
-    Gives the nodes of proper trees as ``(k, parent, size)`` and the others as
-    ``(k, depth)`` with depth -1 on a loop and -2 below one.
+    Gives ``(id, more)``, the subtree sizes without the node itself of those that have
+    descendants (in pieces to be added up), and the nodes without root as ``(id, depth)``, -1 on
+    a loop and -2 below one (None if there are none). Each round handles only the nodes deeper
+    than 2^round, so the work is in proportion to the sum of the logarithms of the depths.
     """
-    state = cut(nodes.select("k", "parent", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")))
-    active = _count(state.where("ptr IS NOT NULL"))
+    active = cut(nodes.where("pid IS NOT NULL").select("id", F.col("pid").alias("up"), F.lit(1).cast("long").alias("size")))
+    pieces, n = None, active.count()
     for _ in range(MOST_ROUNDS):
-        if not active:
-            break
-        moving = state.where("ptr IS NOT NULL")
-        more = moving.groupBy(F.col("ptr").alias("k")).agg(F.sum("size").alias("more"))
-        up = state.select(F.col("k").alias("ptr"), F.col("ptr").alias("next")).where("next IS NOT NULL")
-        jumped = moving.select("k", "ptr").join(up, "ptr").select("k", F.col("next").alias("ptr"))
-        state = cut(state.select("k", "parent", "size").join(more, "k", "left").join(jumped, "k", "left").select("k", "parent", "ptr", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        left = _count(state.where("ptr IS NOT NULL"))
+        if not n:
+            return (pieces if pieces is not None else active.select("id", F.col("size").alias("more"))), None
+        more = active.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        more = cut(more)
+        pieces = more if pieces is None else pieces.unionByName(more)
+        # Who jumps to a node that jumps no further has reached its root's height: it leaves.
+        jumped = active.join(active.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up"), "size")
+        active = cut(jumped.join(more, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), active)
+        left = active.count()
         # No node has its root between 2^k and 2^(k+1) levels above: none lies deeper, the rest runs in loops.
-        if left == active:
+        if left == n:
             break
-        active = left
-    trees = state.where("ptr IS NULL").select("k", "parent", "size")
-    if not active:
-        return trees, state.where("ptr IS NOT NULL").select("k", F.lit(ON_LOOP).alias("depth"))
-    loops = cut(state.where("ptr IS NOT NULL").select("k", "ptr"))
-    image = _count(loops.select("ptr").distinct())
+        n = left
+    loops = cut(active.select("id", "up"), active)
+    image = loops.select("up").distinct().count()
     for _ in range(MOST_ROUNDS):
         # The image of ever longer jumps shrinks to the loops themselves.
-        loops = cut(loops.join(loops.select(F.col("k").alias("ptr"), F.col("ptr").alias("next")), "ptr").select("k", F.col("next").alias("ptr")), loops)
-        smaller = _count(loops.select("ptr").distinct())
+        loops = cut(loops.join(loops.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")), loops)
+        smaller = loops.select("up").distinct().count()
         if smaller == image:
             break
         image = smaller
-    on = loops.select(F.col("ptr").alias("k")).distinct().withColumn("on", F.lit(True))
-    return trees, loops.select("k").join(on, "k", "left").select("k", F.when(F.col("on"), ON_LOOP).otherwise(BELOW_LOOP).alias("depth"))
+    on = loops.select(F.col("up").alias("id")).distinct().withColumn("on", F.lit(True))
+    return pieces, loops.select("id").join(on, "id", "left").select("id", F.when(F.col("on"), ON_LOOP).otherwise(BELOW_LOOP).alias("depth"))
 
 
 def _sibling_offsets(trees: DataFrame) -> DataFrame:
     """Preorder offset ``off`` of each light child behind its parent: the heavy child comes
     first, then the others by group and key. Two-level prefix sums keep every window small."""
-    light = trees.where("NOT heavy AND parent IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("k"), F.lit(SIBLING_GROUPS)))
-    groups = light.groupBy("parent", "g").agg(F.sum("size").alias("s"))
-    w = Window.partitionBy("parent").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    base = groups.select("parent", "g", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("parent", "g").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    heavy = trees.where("heavy").select("parent", F.col("size").alias("first"))
-    placed = light.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, ["parent", "g"]).join(heavy, "parent", "left")
-    return placed.select("k", (F.lit(1) + F.coalesce("first", F.lit(0)) + F.col("base") + F.col("within")).alias("off"))
+    light = trees.where("NOT heavy AND pid IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(SIBLING_GROUPS)))
+    groups = light.groupBy("pid", "g").agg(F.sum("size").alias("s"))
+    w = Window.partitionBy("pid").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    base = groups.select("pid", "g", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("pid", "g").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    heavy = trees.where("heavy").select("pid", F.col("size").alias("first"))
+    placed = light.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, ["pid", "g"]).join(heavy, "pid", "left")
+    return placed.select("id", (F.lit(1) + F.coalesce("first", F.lit(0)) + F.col("base") + F.col("within")).alias("off"))
+
+
+def _chains(trees: DataFrame, sep: str) -> DataFrame:
+    """Each node's chain: ``id, head, place, seg``, the segment of labels below the head down to the node."""
+    heads = trees.where("NOT heavy").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("seg"))
+    parts = [heads]
+    active = cut(trees.where("heavy").select("id", F.col("pid").alias("head"), F.lit(1).cast("long").alias("place"), F.col("label").alias("seg"), F.lit(False).alias("done")))
+    for _ in range(MOST_ROUNDS):
+        if active.isEmpty():
+            break
+        known = active
+        for p in parts[1:]:
+            known = known.unionByName(p.withColumn("done", F.lit(True)))
+        up = known.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("place").alias("place2"), F.col("seg").alias("seg2"), F.col("done").alias("done2"))
+        # A pointer at a node that is no heavy child points at the chain's head.
+        far = F.col("head2").isNotNull()
+        step = active.join(up, "head", "left").select(
+            "id", F.coalesce("head2", "head").alias("head"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place"), F.concat_ws(sep, "seg2", "seg").alias("seg"), (~far | F.coalesce("done2", F.lit(False))).alias("done")
+        )
+        both = cut(step)
+        parts.append(both.where("done").drop("done"))
+        active = both.where("NOT done")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, sep: str = "/") -> DataFrame:
@@ -86,60 +120,59 @@ def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, se
 
     ``nodes``: ``k`` (distinct, not null), ``parent`` (null for roots, else a ``k``) and, for
     paths, ``label``. Result: ``k, root, depth, chain, place, subtree`` and ``path`` and
-    ``tree_pre``. Nodes on a loop have root null and depth -1, nodes below one root null and
-    depth -2, both without path and interval. ``tree_pre`` counts from 0 within the tree.
-    An empty table gives an empty result.
+    ``tree_pre``; ``subtree`` is null without intervals. Nodes on a loop have root null and
+    depth -1, nodes below one root null and depth -2, both without path and interval.
+    ``tree_pre`` counts from 0 within the tree. An empty table gives an empty result.
     """
     label = F.col("label") if paths else F.lit(None).cast("string")
-    base = nodes.select("k", "parent", label.alias("label"))
-    trees, looped = separate(base)
-    best = trees.where("parent IS NOT NULL").groupBy("parent").agg(F.max(F.struct("size", "k")).alias("b"))
-    trees = trees.join(best.select(F.col("b.k").alias("k"), F.lit(True).alias("heavy")), "k", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    if paths:
-        trees = trees.join(base.select("k", "label"), "k")
-    else:
-        trees = trees.withColumn("label", F.lit(None).cast("string"))
+    ids = _numbered(nodes.select("k", "parent", label.alias("label")))
+    pieces, looped = separate(ids.select("id", "pid"))
+    sizes = pieces.groupBy("id").agg(F.sum("more").alias("more"))
+    trees = ids.select("id", "pid", "label")
+    if looped is not None:
+        looped = cut(looped)
+        trees = trees.join(looped.select("id"), "id", "left_anti")
+    trees = trees.join(sizes, "id", "left").select("id", "pid", "label", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size"))
     trees = cut(trees)
-
-    # Chains: every node points up heavy links until it points at its chain's head.
-    seg = F.col("label")
-    run = cut(trees.select("k", F.when(F.col("heavy"), F.col("parent")).otherwise(F.col("k")).alias("head"), F.col("heavy").cast("long").alias("place"), (~F.col("heavy")).alias("done"), seg.alias("seg")))
-    for _ in range(MOST_ROUNDS):
-        if not _count(run.where("NOT done")):
-            break
-        up = run.select(F.col("k").alias("head"), F.col("head").alias("head2"), F.col("place").alias("place2"), F.col("done").alias("done2"), F.col("seg").alias("seg2"))
-        moved = run.where("NOT done").join(up, "head").select("k", F.col("head2").alias("head"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"), F.concat_ws(sep, "seg2", "seg").alias("seg"))
-        run = cut(run.where("done").unionByName(moved), run)
-
-    # Chains of chains.
-    heads = trees.where("NOT heavy").select(F.col("k").alias("head"), "parent")
-    at = run.select(F.col("k").alias("parent"), F.col("head").alias("up"), F.col("place").alias("at"), F.col("seg").alias("prefix"))
-    chain = heads.join(at, "parent", "left").withColumnRenamed("head", "chain")
+    # The child with the largest subtree carries its parent's chain on.
+    best = trees.where("pid IS NOT NULL").groupBy("pid").agg(F.max(F.struct("size", "id")).alias("b")).select(F.col("b.id").alias("id"), F.lit(True).alias("heavy"))
+    trees = cut(trees.join(best, "id", "left").select("id", "pid", "label", "size", F.coalesce("heavy", F.lit(False)).alias("heavy")), trees)
+    run = _chains(trees, sep)
+
+    # Chains of chains: each chain hangs at a place of another, a root path crosses few of them.
+    at = run.select(F.col("id").alias("pid"), F.col("head").alias("up"), F.col("place").alias("at"), F.col("seg").alias("above"))
+    chain = trees.where("NOT heavy").select(F.col("id").alias("chain"), "pid", "label").join(at, "pid", "left")
     if intervals:
-        chain = chain.join(_sibling_offsets(trees).withColumnRenamed("k", "chain"), "chain", "left")
+        chain = chain.join(_sibling_offsets(trees).withColumnRenamed("id", "chain"), "chain", "left")
     else:
         chain = chain.withColumn("off", F.lit(None).cast("long"))
-    chain = cut(chain.select("chain", F.coalesce("up", "chain").alias("up"), F.col("up").isNull().alias("done"), F.coalesce(F.col("at") + 1, F.lit(0)).alias("dist"), F.coalesce(F.col("at") + F.col("off"), F.lit(0)).alias("pre"), "prefix"))
+    none = F.lit(None).cast("string")
+    # ``prefix``: labels from below the upper chain's head down to this chain's head, that included.
+    chain = cut(chain.select("chain", F.coalesce("up", "chain").alias("up"), F.col("up").isNull().alias("done"), F.coalesce(F.col("at") + 1, F.lit(0)).alias("dist"), F.coalesce(F.col("at") + F.col("off"), F.lit(0)).alias("pre"), (F.concat_ws(sep, "above", "label") if paths else none).alias("prefix")))
     for _ in range(MOST_ROUNDS):
-        if not _count(chain.where("NOT done")):
+        if chain.where("NOT done").isEmpty():
             break
         up = chain.select(F.col("chain").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"), F.col("dist").alias("dist2"), F.col("pre").alias("pre2"), F.col("prefix").alias("prefix2"))
-        moved = chain.where("NOT done").join(up, "up").select("chain", F.col("up2").alias("up"), F.col("done2").alias("done"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("pre") + F.col("pre2")).alias("pre"), F.concat_ws(sep, "prefix2", "prefix").alias("prefix"))
+        moved = chain.where("NOT done").join(up, "up").select("chain", F.col("up2").alias("up"), F.col("done2").alias("done"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("pre") + F.col("pre2")).alias("pre"), (F.concat_ws(sep, "prefix2", "prefix") if paths else none).alias("prefix"))
         chain = cut(chain.where("done").unionByName(moved), chain)
 
-    out = run.select("k", F.col("head").alias("chain"), "place", "seg").join(chain.select("chain", F.col("up").alias("root"), "dist", "pre", "prefix"), "chain")
-    cols = ["k", "root", (F.col("dist") + F.col("place")).cast("int").alias("depth"), "chain", "place"]
-    none = {"root": "string", "chain": "string", "place": "long"}
+    roots = chain.where("chain = up").select(F.col("chain").alias("up")).join(ids.select(F.col("id").alias("up"), F.col("k").alias("root")), "up")
+    named = chain.join(roots, "up").select(F.col("chain").alias("head"), "root", "dist", "pre", "prefix")
+    out = run.join(named, "head")
+    cols = ["id", "root", (F.col("dist") + F.col("place")).cast("int").alias("depth"), F.col("head").alias("chain"), "place"]
+    kinds = {"root": "string", "chain": "long", "place": "long"}
     if paths:
-        cols.append(F.concat_ws(sep, "prefix", "seg").alias("path"))
-        none["path"] = "string"
+        cols.append(F.concat_ws(sep, "prefix", F.when(F.col("seg") != "", F.col("seg"))).alias("path"))
+        kinds["path"] = "string"
     if intervals:
         cols.append((F.col("pre") + F.col("place")).alias("tree_pre"))
-        none["tree_pre"] = "long"
-    out = out.select(*cols).join(trees.select("k", F.col("size").alias("subtree")), "k") if intervals else out.select(*cols).withColumn("subtree", F.lit(None).cast("long"))
-    none["subtree"] = "long"
-    lost = looped.select("k", F.col("depth").cast("int").alias("depth"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
-    return out.unionByName(lost)
+        kinds["tree_pre"] = "long"
+    out = out.select(*cols)
+    out = out.join(trees.select("id", F.col("size").alias("subtree")), "id") if intervals else out.withColumn("subtree", F.lit(None).cast("long"))
+    kinds["subtree"] = "long"
+    if looped is not None:
+        out = out.unionByName(looped.select("id", F.col("depth").cast("int").alias("depth"), *(F.lit(None).cast(t).alias(c) for c, t in kinds.items())))
+    return ids.select("id", "k").join(out, "id").drop("id")
 
 
 def descendants(labels: DataFrame, queries: DataFrame) -> DataFrame:

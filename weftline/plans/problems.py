@@ -27,7 +27,7 @@ def p1_brds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graphs(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(hierarchy.both_graphs(table(spark, sf, "catalogue_nodes"), table(spark, sf, "block_edges")))
+    return hierarchy.both_graphs(table(spark, sf, "catalogue_nodes"), table(spark, sf, "block_edges"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
