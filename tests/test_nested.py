@@ -68,3 +68,10 @@ def test_matches_brute_force(spark):
     want = sorted((r[0], *x) for r in rows for x in brute(r[1]))
     got = sorted(tuple(r) for r in plans.queries()["p5_found"](spark, sf).select("manifest_id", "child", "parent_ordinal", "ordinal", "item").collect())
     assert got == want
+
+
+def test_very_deep_and_long_values(spark):
+    deep = '{"Owners": "o", "Value": ' + '{"a": [' * 1500 + "1" + "]}" * 1500 + "}"
+    long = json.dumps({"Owners": "x" * 300_000})
+    got = {r["doc"]: r["f_business"] for r in N.manifest_records(spark.createDataFrame([(1, deep), (2, long)], "manifest_id long, body string"), ["business"]).collect()}
+    assert got[2] == "x" * 300_000 and got.get(1, "o") == "o"

@@ -12,6 +12,32 @@ from weftline.functions.scale import cut, drop
 MOST_ROUNDS = 10_000
 
 
+#: Parts of a growing table before they are written together.
+MOST_PARTS = 8
+
+
+class _Grown:
+    """A table that grows by parts. Parts are not rewritten each round, but now and then; the
+    last one, on which the next round works, stays as it is."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def add(self, part: DataFrame) -> None:
+        if len(self.parts) >= MOST_PARTS:
+            merged = cut(self.all())
+            for p in self.parts:
+                drop(p)
+            self.parts = [merged]
+        self.parts.append(part)
+
+
 def _edges(edges: DataFrame) -> DataFrame:
     """Distinct ``src, dst`` without nulls."""
     return edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
@@ -21,18 +47,19 @@ def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None) ->
     """All nodes reached from ``start (node)`` along ``edges (src, dst)`` with the fewest hops:
     ``node, depth``; the start itself has depth 0. Null nodes are left out."""
     e = cut(_edges(edges))
-    seen = cut(start.where("node IS NOT NULL").select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, n = seen, 0
-    while max_depth is None or n < max_depth:
+    frontier = cut(start.where("node IS NOT NULL").select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, n = _Grown(frontier), 0
+    while (max_depth is None or n < max_depth) and n < MOST_ROUNDS:
         n += 1
         step = frontier.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
-        new = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
-        if new.isEmpty() or n > MOST_ROUNDS:
+        new = cut(step.join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
+        if new.isEmpty():
             drop(new)
             break
-        frontier, seen = new, cut(seen.unionByName(new), seen if n > 1 else None)
+        seen.add(new)
+        frontier = new
     drop(e)
-    return seen
+    return seen.all()
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, direction: str = "out") -> DataFrame:
@@ -53,16 +80,18 @@ def pair_closure(edges: DataFrame, seeds: DataFrame, carry: str) -> DataFrame:
     """Least fixed point of sets that flow along edges: from ``seeds (node, carry)`` all pairs
     ``node, carry``, each round working on the new pairs only."""
     e = cut(_edges(edges))
-    seen = cut(seeds.where(F.col("node").isNotNull() & F.col(carry).isNotNull()).select("node", carry).distinct())
-    new = seen
-    for n in range(MOST_ROUNDS):
+    new = cut(seeds.where(F.col("node").isNotNull() & F.col(carry).isNotNull()).select("node", carry).distinct())
+    seen = _Grown(new)
+    for _ in range(MOST_ROUNDS):
         step = new.select(F.col("node").alias("src"), carry).join(e, "src").select(F.col("dst").alias("node"), carry).distinct()
-        fresh = cut(step.join(seen, ["node", carry], "left_anti"))
+        fresh = cut(step.join(seen.all(), ["node", carry], "left_anti"))
         if fresh.isEmpty():
+            drop(fresh)
             break
-        new, seen = fresh, cut(seen.unionByName(fresh), seen if n else None)
+        seen.add(fresh)
+        new = fresh
     drop(e)
-    return seen
+    return seen.all()
 
 
 def reach_classes(nodes: DataFrame, must: DataFrame, may: DataFrame, roots: DataFrame, tests: DataFrame) -> DataFrame:
@@ -85,16 +114,19 @@ def rapid_types(sure: DataFrame, maybe: DataFrame, start: DataFrame) -> DataFram
     node) is reached, now or later, joins in; candidates without type never do. Fixed point.
     """
     e, m = cut(_edges(sure)), cut(maybe.where("type IS NOT NULL").select("src", "dst", "type").distinct())
-    seen = cut(start.where("node IS NOT NULL").select("node").distinct())
-    for n in range(MOST_ROUNDS):
-        s = seen.select("node")
-        by_edge = s.join(e, s.node == e.src).select(F.col("dst").alias("node"))
+    new = cut(start.where("node IS NOT NULL").select("node").distinct())
+    seen = _Grown(new)
+    for _ in range(MOST_ROUNDS):
+        s = seen.all()
+        by_edge = new.join(e, new.node == e.src).select(F.col("dst").alias("node"))
         by_type = m.join(s.withColumnRenamed("node", "src"), "src", "left_semi").join(s.withColumnRenamed("node", "type"), "type", "left_semi").select(F.col("dst").alias("node"))
-        new = cut(by_edge.unionByName(by_type).distinct().join(seen, "node", "left_anti"))
-        if new.isEmpty():
+        fresh = cut(by_edge.unionByName(by_type).distinct().join(s, "node", "left_anti"))
+        if fresh.isEmpty():
+            drop(fresh)
             break
-        seen = cut(seen.unionByName(new), seen if n else None)
-    return seen
+        seen.add(fresh)
+        new = fresh
+    return seen.all()
 
 
 def crossings(sync: DataFrame, hops: DataFrame, start: DataFrame) -> DataFrame:
@@ -117,16 +149,18 @@ def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
     """One shortest path from the set ``start`` to every node it reaches: ``node, depth, parent``;
     of several parents in the level before the first by name. Paths follow by the parents."""
     e = cut(_edges(edges))
-    seen = cut(start.where("node IS NOT NULL").select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    frontier = seen
+    frontier = cut(start.where("node IS NOT NULL").select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
+    seen = _Grown(frontier)
     for n in range(1, MOST_ROUNDS):
         step = frontier.select(F.col("node").alias("src")).join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        new = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(n).alias("depth"), "parent"))
+        new = cut(step.join(seen.all().select("node"), "node", "left_anti").select("node", F.lit(n).alias("depth"), "parent"))
         if new.isEmpty():
+            drop(new)
             break
-        frontier, seen = new, cut(seen.unionByName(new), seen if n > 1 else None)
+        seen.add(new)
+        frontier = new
     drop(e)
-    return seen
+    return seen.all()
 
 
 def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

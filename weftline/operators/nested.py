@@ -9,6 +9,7 @@ rows carry the ordinals of record and parent.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Lists of a manifest that hold records, by path of their names in lower case without `_`, and what one record is called.
 RECORD_LISTS = {("capabilities",): "capability", ("invariants",): "invariant", ("capabilities", "rules"): "rule", ("invariants", "cases"): "case", ("owners",): "owner"}
+#: Frames allowed for very deep values.
+DEEPEST = 50_000
 #: Where a record may be a bare string, and the field the string stands for.
 BARE = {"rule": "text", "owner": "business"}
 #: Fields by which one bare record is told from an object keyed by ID.
@@ -157,6 +160,7 @@ def body_triples(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """The triples of all bodies, one row each. One body is in memory at a time beside its batch."""
 
     def parse(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
