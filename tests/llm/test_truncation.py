@@ -20,11 +20,11 @@ def test_cut_and_whole(spark):
     rnd = random.Random(1)
     rows = corpus(rnd, 300)
     tail = "The nightly report lists every basket with its owner and the last change"
-    whole = [(1000, tail, "s"), (1001, "We will see…", "s"), (1002, None, "s"), (1003, "", "s"), (1004, "  ", None), (1005, tail + ".  \n", None)]
+    whole = [(1001, "We will see…", "s"), (1002, None, "s"), (1003, "", "s"), (1004, "  ", None), (1005, tail + ".  \n", None)]
     whole += [(1100 + i, SENTENCES[i % 5] + "\n\nOwners:\n- payments\n- growth", "s") for i in range(12)] + [(1200 + i, SENTENCES[0] + "\n\nWe will see…", "s") for i in range(12)]
-    cut = [(2000, SENTENCES[0] + " The nightly report lists every bas", "s"), (2001, SENTENCES[1] + " Every edge from the", "s"), (2002, SENTENCES[2] + " Whoever renames the symbol has to move the annot…", "s"), (2003, "```\ndef f():\n    return 1\n", "s"), (2004, SENTENCES[3] + " Every edge from the ledger is decl [...]", "s"), (2005, "The settlement worker keeps the caf�", "s")]
+    cut = [(2000, SENTENCES[0] + " The nightly report lists every bas", "s"), (2001, SENTENCES[1] + " Every edge from the", "s"), (2002, SENTENCES[2] + " Whoever renames the symbol has to move the annot…", "s"), (2003, "```\ndef f():\n    return 1\n", "s"), (2004, SENTENCES[3] + " Every edge from the ledger is decl [...]", "s"), (2005, "The settlement worker keeps the caf�", "s"), (2006, tail, "s")]
     got = found(spark, rows + whole + cut + cut[:1])
-    assert got.keys() - {2002} == {2000, 2001, 2003, 2004, 2005}
+    assert got.keys() - {2002} == {2000, 2001, 2003, 2004, 2005, 2006}
 
 
 def test_limits_are_found(spark):

@@ -39,7 +39,9 @@ SLACK = 24
 
 _TOKEN = re.compile(r"\n+|[^\W\d_]+(?:['’_-][^\W\d_]+)*|\d+|```|[^\w\s]|_")
 _MARK = re.compile(r"\s*(\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|\.{3,}|<(?:truncated|cut|more)>|\[(?:truncated|cut|more)\])\s*$", re.I)
-_STOPS = frozenset(".?!…\n")
+#: What may follow the last word of a whole text: a line's end. Before a full stop a text goes on,
+#: for it would have kept that; endings that are usual without one are told by the texts that have them.
+_STOPS = frozenset("\n")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 TAILS = "doc_id long, source string, chars long, bytes long, mark string, ending string, k int, ctx long, last string"
