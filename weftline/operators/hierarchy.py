@@ -27,15 +27,18 @@ MOST_ROUNDS = 62
 SIBLING_GROUPS = 64
 
 
-def _numbered(nodes: DataFrame) -> DataFrame:
-    """``id, pid, k, label``: keys as 64-bit hashes, which make the rounds' rows small. Where two
-    keys share a hash (checked) another seed is taken, so the numbers are exact."""
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, k, label)`` and ``(id, pid)``: keys as 64-bit hashes, which make the rounds' rows
+    small. Parents that are no nodes become null. Where two keys share a hash (checked) another
+    seed is taken, so the numbers are exact."""
     for seed in range(100):
         at = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
-        out = cut(nodes.select(at(F.col("k")).alias("id"), F.when(F.col("parent").isNotNull(), at(F.col("parent"))).alias("pid"), "k", "label"))
-        if out.groupBy("id").count().where("count > 1").isEmpty():
-            return out
-        drop(out)
+        named = cut(nodes.select(at(F.col("k")).alias("id"), F.when(F.col("parent").isNotNull(), at(F.col("parent"))).alias("pid"), "k", "label"))
+        if named.groupBy("id").count().where("count > 1").isEmpty():
+            there = named.select(F.col("id").alias("pid"), F.lit(True).alias("there"))
+            linked = named.where("pid IS NOT NULL").select("id", "pid").join(there, "pid", "left").select("id", F.when(F.col("there"), F.col("pid")).alias("pid"))
+            return named.select("id", "k", "label"), cut(linked.unionByName(named.where("pid IS NULL").select("id", "pid")))
+        drop(named)
     raise ValueError("keys are not distinct")
 
 
@@ -118,32 +121,40 @@ def _chains(trees: DataFrame, sep: str) -> DataFrame:
 def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, sep: str = "/") -> DataFrame:
     """Root, depth and chain of every node, on request its path and preorder interval.
 
-    ``nodes``: ``k`` (distinct, not null), ``parent`` (null for roots, else a ``k``) and, for
+    ``nodes``: ``k`` (distinct, not null), ``parent`` (null, or no ``k``, for roots) and, for
     paths, ``label``. Result: ``k, root, depth, chain, place, subtree`` and ``path`` and
     ``tree_pre``; ``subtree`` is null without intervals. Nodes on a loop have root null and
     depth -1, nodes below one root null and depth -2, both without path and interval.
     ``tree_pre`` counts from 0 within the tree. An empty table gives an empty result.
     """
     label = F.col("label") if paths else F.lit(None).cast("string")
-    ids = _numbered(nodes.select("k", "parent", label.alias("label")))
-    pieces, looped = separate(ids.select("id", "pid"))
+    names, links = _numbered(nodes.select("k", "parent", label.alias("label")))
+    pieces, looped = separate(links)
     sizes = pieces.groupBy("id").agg(F.sum("more").alias("more"))
-    trees = ids.select("id", "pid", "label")
+    trees = links
     if looped is not None:
         looped = cut(looped)
         trees = trees.join(looped.select("id"), "id", "left_anti")
-    trees = trees.join(sizes, "id", "left").select("id", "pid", "label", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size"))
-    trees = cut(trees)
+    if paths:
+        trees = trees.join(names.select("id", "label"), "id")
+    else:
+        trees = trees.withColumn("label", F.lit(None).cast("string"))
+    trees = cut(trees.join(sizes, "id", "left").select("id", "pid", "label", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size")))
     # The child with the largest subtree carries its parent's chain on.
     best = trees.where("pid IS NOT NULL").groupBy("pid").agg(F.max(F.struct("size", "id")).alias("b")).select(F.col("b.id").alias("id"), F.lit(True).alias("heavy"))
     trees = cut(trees.join(best, "id", "left").select("id", "pid", "label", "size", F.coalesce("heavy", F.lit(False)).alias("heavy")), trees)
-    run = _chains(trees, sep)
+    # Light leaves are chains of one node from which nothing hangs: they are added last.
+    leaf = "size = 1 AND NOT heavy AND pid IS NOT NULL"
+    inner = trees.where(f"NOT ({leaf})")
+    run = _chains(inner, sep)
 
     # Chains of chains: each chain hangs at a place of another, a root path crosses few of them.
+    off = _sibling_offsets(trees) if intervals else None
     at = run.select(F.col("id").alias("pid"), F.col("head").alias("up"), F.col("place").alias("at"), F.col("seg").alias("above"))
-    chain = trees.where("NOT heavy").select(F.col("id").alias("chain"), "pid", "label").join(at, "pid", "left")
+    chain = inner.where("NOT heavy").select(F.col("id").alias("chain"), "pid", "label").join(at, "pid", "left")
     if intervals:
-        chain = chain.join(_sibling_offsets(trees).withColumnRenamed("id", "chain"), "chain", "left")
+        off = cut(off)
+        chain = chain.join(off.withColumnRenamed("id", "chain"), "chain", "left")
     else:
         chain = chain.withColumn("off", F.lit(None).cast("long"))
     none = F.lit(None).cast("string")
@@ -156,23 +167,30 @@ def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, se
         moved = chain.where("NOT done").join(up, "up").select("chain", F.col("up2").alias("up"), F.col("done2").alias("done"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("pre") + F.col("pre2")).alias("pre"), (F.concat_ws(sep, "prefix2", "prefix") if paths else none).alias("prefix"))
         chain = cut(chain.where("done").unionByName(moved), chain)
 
-    roots = chain.where("chain = up").select(F.col("chain").alias("up")).join(ids.select(F.col("id").alias("up"), F.col("k").alias("root")), "up")
-    named = chain.join(roots, "up").select(F.col("chain").alias("head"), "root", "dist", "pre", "prefix")
-    out = run.join(named, "head")
-    cols = ["id", "root", (F.col("dist") + F.col("place")).cast("int").alias("depth"), F.col("head").alias("chain"), "place"]
-    kinds = {"root": "string", "chain": "long", "place": "long"}
+    cols = ["id", F.col("up").alias("rid"), (F.col("dist") + F.col("place")).cast("int").alias("depth"), F.col("head").alias("chain"), "place"]
+    kinds = {"rid": "long", "chain": "long", "place": "long"}
     if paths:
         cols.append(F.concat_ws(sep, "prefix", F.when(F.col("seg") != "", F.col("seg"))).alias("path"))
         kinds["path"] = "string"
     if intervals:
         cols.append((F.col("pre") + F.col("place")).alias("tree_pre"))
         kinds["tree_pre"] = "long"
-    out = out.select(*cols)
+    out = cut(run.join(chain.withColumnRenamed("chain", "head"), "head").select(*cols))
+    leaves = trees.where(leaf).select(F.col("id").alias("leaf"), F.col("pid").alias("id"), "label")
+    if intervals:
+        leaves = leaves.join(off.withColumnRenamed("id", "leaf"), "leaf")
+    hung = leaves.join(out, "id")
+    lcols = [F.col("leaf").alias("id"), "rid", (F.col("depth") + 1).alias("depth"), F.col("leaf").alias("chain"), F.lit(0).cast("long").alias("place")]
+    lcols += [F.concat_ws(sep, "path", "label").alias("path")] if paths else []
+    lcols += [(F.col("tree_pre") + F.col("off")).alias("tree_pre")] if intervals else []
+    out = out.unionByName(hung.select(*lcols))
     out = out.join(trees.select("id", F.col("size").alias("subtree")), "id") if intervals else out.withColumn("subtree", F.lit(None).cast("long"))
     kinds["subtree"] = "long"
     if looped is not None:
         out = out.unionByName(looped.select("id", F.col("depth").cast("int").alias("depth"), *(F.lit(None).cast(t).alias(c) for c, t in kinds.items())))
-    return ids.select("id", "k").join(out, "id").drop("id")
+    named = names.select("id", "k").join(out, "id")
+    roots = names.select(F.col("id").alias("rid"), F.col("k").alias("root")).join(links.where("pid IS NULL").select(F.col("id").alias("rid")), "rid", "left_semi")
+    return named.join(roots, "rid", "left").drop("id", "rid")
 
 
 def descendants(labels: DataFrame, queries: DataFrame) -> DataFrame:
@@ -194,11 +212,9 @@ def _trim(c):
 
 
 def _linked(links: DataFrame) -> DataFrame:
-    """``links (graph, source, node_id, parent_id)`` to ``(k, parent, label)``; parents that are no nodes are dropped."""
+    """``links (graph, source, node_id, parent_id)`` to ``(k, parent, label)``; an empty parent is null."""
     key = lambda c: F.concat_ws(SEP, "graph", "source", c)
-    rows = links.select(key("node_id").alias("k"), F.when(F.col("parent_id") != "", key("parent_id")).alias("p"), F.col("node_id").alias("label"))
-    known = rows.select(F.col("k").alias("p"), F.col("k").alias("parent"))
-    return rows.join(known, "p", "left").select("k", "parent", "label")
+    return links.select(key("node_id").alias("k"), F.when(F.col("parent_id") != "", key("parent_id")).alias("parent"), F.col("node_id").alias("label"))
 
 
 def catalogue_links(nodes: DataFrame) -> DataFrame:
@@ -217,9 +233,10 @@ def edge_links(edges: DataFrame) -> DataFrame:
     outward = F.col("kind") == "contains"
     frm, to = _trim(F.col("from_id")), _trim(F.col("to_id"))
     links = e.select(F.when(outward, to).otherwise(frm).alias("node_id"), F.when(outward, frm).otherwise(to).alias("parent_id"), "seen_at")
-    ends = links.select("node_id", F.struct(F.lit(1).alias("r"), "seen_at", "parent_id").alias("l")).unionByName(
-        links.select(F.col("parent_id").alias("node_id"), F.struct(F.lit(0).alias("r"), F.lit(None).cast(edges.schema["seen_at"].dataType).alias("seen_at"), F.lit("").alias("parent_id")).alias("l"))
-    )
+    none = F.lit(None).cast(edges.schema["seen_at"].dataType)
+    told = F.struct(F.col("node_id").alias("node_id"), F.struct(F.lit(1).alias("r"), F.col("seen_at").alias("seen_at"), F.col("parent_id").alias("parent_id")).alias("l"))
+    outer = F.struct(F.col("parent_id").alias("node_id"), F.struct(F.lit(0).alias("r"), none.alias("seen_at"), F.lit("").alias("parent_id")).alias("l"))
+    ends = links.select(F.inline(F.array(told, outer)))
     one = ends.where("node_id != ''").groupBy("node_id").agg(F.max("l").alias("l"))
     return one.select(F.lit("block_edges").alias("graph"), F.lit("").alias("source"), "node_id", F.col("l.parent_id").alias("parent_id"))
 
