@@ -31,13 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """Cut the lineage by a table written in the shared folder, and read it back.
 
-    A lost executor then costs a task's work at most, and the planner sees true sizes. ``old``:
-    an earlier cut that nothing needs any more once this one is written; its files go.
+    A lost executor then costs a task's work at most. The table carries a merge hint: the size
+    of compressed files proves nothing about rows in memory, so the planner must not broadcast
+    it unasked. ``old``: an earlier cut that nothing needs once this one is written; its files go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).hint("merge")
     out._weftline_path = path
     if old is not None:
         drop(old)

@@ -27,7 +27,7 @@ class _Grown:
         out = self.parts[0]
         for p in self.parts[1:]:
             out = out.unionByName(p)
-        return out
+        return out.hint("merge")
 
     def add(self, part: DataFrame) -> None:
         if len(self.parts) >= MOST_PARTS:
