@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import cut
+from weftline.functions.scale import checked_broadcast, cut
 
 TOKENIZERS = "/opt/tokenizers"
 #: Split pattern of the byte-level vocabulary (its own definition, a fixed value).
@@ -179,7 +179,8 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     ranked = grouped.withColumn("within", within).join(base, ["window_id", "length", "g"]).withColumn("place", F.col("base") + F.col("within"))
     # A length's places as one sorted list of starts: bounded by the number of fillings, not by documents.
     starts = plans.groupBy("window_id", "length").agg(F.array_sort(F.collect_list(F.struct("first_place", "per_bin", "first_bin"))).alias("starts"))
-    placed = ranked.join(starts, ["window_id", "length"], "left")
+    # As many rows as all windows have tokens at most; beyond the checked bound a shuffled join.
+    placed = ranked.join(checked_broadcast(starts), ["window_id", "length"], "left")
 
     at = F.col("place")
     fits = F.filter("starts", lambda s: s.first_place <= at)

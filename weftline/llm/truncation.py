@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import cut
+from weftline.functions.scale import checked_broadcast, cut
 
 #: Words before the last token that make a context.
 CONTEXTS = (1, 2, 3, 4)
@@ -257,7 +257,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     share = F.when(usual, 1.0).otherwise((F.col("stops") + others) / n)
     told = asked.join(nodes, ["k", "ctx", "last"]).where(n >= SUPPORT).select("k", "ctx", "last", share.alias("share"))
     per_tail = open_tails.select("doc_id", "k", "ctx", "last").join(told, ["k", "ctx", "last"]).groupBy("doc_id").agg(F.max(F.struct("k", "share")).alias("s"))
-    rows = ends.select("doc_id", "source", "chars", "bytes", "mark", "ending").join(limits(ends), "source").join(per_tail, "doc_id", "left")
+    rows = ends.select("doc_id", "source", "chars", "bytes", "mark", "ending").join(checked_broadcast(limits(ends)), "source").join(per_tail, "doc_id", "left")
     return rows.withColumns({"share": F.col("s.share"), "depth": F.col("s.k"), "at_limit": _at_limit()}).where(_is_cut()).select("doc_id", "source", "mark", "at_limit", "share")
 
 
