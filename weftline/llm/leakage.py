@@ -218,7 +218,7 @@ def _block_leaks(documents: DataFrame, items: list[tuple[int, list[str]]]) -> Da
     if not prefix:
         return None
     posted = spark.createDataFrame(prefix, "item_id long, h int")
-    pairs = found.select("doc_id", F.explode("hits").alias("h")).join(checked_broadcast(posted, 2_000_000), "h").select("doc_id", "item_id").distinct()
+    pairs = found.select("doc_id", F.explode("hits").alias("h")).join(checked_broadcast(posted, 200_000), "h").select("doc_id", "item_id").distinct()
     per_doc = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))  # at most a block of items
     text = dict(items)
     own_of = {item: set(own) for item, own in postings}
