@@ -73,3 +73,20 @@ def test_filter_knows_its_contexts(spark):
         slots = T._spark_filter_slots(k, np.array([0, -5, 2**62, 12345], dtype=np.int64))
         assert all((bits[s >> 3] >> (s & 7)) & 1 for s in slots)
     assert np.unpackbits(bits).sum() <= 16
+
+
+def test_copies_do_not_vouch_for_each_other(spark):
+    rows = corpus(random.Random(1), 300)
+    text = SENTENCES[2] + " The nightly report lists every bas"
+    tail = SENTENCES[1] + " " + SENTENCES[4].rstrip(".")
+    for copies in (1, 6, 1000):
+        cut = [(2000 + i, text + " " * (i % 2), "s") for i in range(copies)] + [(5000 + i, tail, "st"[i % 2]) for i in range(copies)]
+        assert found(spark, rows + cut).keys() == {r[0] for r in cut}
+
+
+def test_copies_are_no_limit(spark):
+    texts = [(i, "x" * (10 + i) + ".", "s") for i in range(50)]
+    copies = [(100 + i, "y" * 80 + ".", "s") for i in range(40)]
+    limit = lambda rows: T.limits(T.tails(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()[0]["limit_chars"]
+    assert limit(texts + copies) is None
+    assert limit(texts + [(100 + i, f"{i:02}" + "y" * 78 + ".", "s") for i in range(40)]) == 81

@@ -44,7 +44,9 @@ _MARK = re.compile(r"\s*(\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|\.{
 _STOPS = frozenset("\n")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
-TAILS = "doc_id long, source string, chars long, bytes long, mark string, ending string, k int, ctx long, last string"
+TAILS = "doc_id long, copy long, source string, chars long, bytes long, mark string, ending string, k int, ctx long, last string"
+#: White space that does not make a copy another text.
+BLANKS = " \t\n\r\x0b\x0c"
 STATS = "k int, ctx long, word string, stops long, ends long, goes long"
 
 
@@ -73,8 +75,8 @@ def context_hash(words: list[str]) -> int:
     return int(h.astype(np.int64))
 
 
-def _tail_rows(ids, texts, sources):
-    for doc, text, source in zip(ids, texts, sources):
+def _tail_rows(ids, texts, sources, copies):
+    for doc, text, source, copy in zip(ids, texts, sources, copies):
         if not text or not text.strip():
             continue
         core, mark = without_mark(text)
@@ -87,24 +89,25 @@ def _tail_rows(ids, texts, sources):
         if ending == "open":
             for k in (0, *CONTEXTS):
                 if len(x) > k:
-                    yield doc, source, *size, mark, ending, k, context_hash(x[len(x) - 1 - k : -1]), x[-1]
+                    yield doc, copy, source, *size, mark, ending, k, context_hash(x[len(x) - 1 - k : -1]), x[-1]
         else:
-            yield doc, source, *size, mark, ending, -1, 0, x[-1]
+            yield doc, copy, source, *size, mark, ending, -1, 0, x[-1]
 
 
 def tails(documents: DataFrame) -> DataFrame:
     """The last token of each text with its contexts, one row per context (``k`` words); one row
-    with ``k`` -1 for texts that end in a full stop or an open code block. Null and blank texts give none."""
+    with ``k`` -1 for texts that end in a full stop or an open code block. Null and blank texts give
+    none. ``copy``: a hash of the text, by which its copies are known."""
 
     def run(batches):
         for b in batches:
-            rows = list(_tail_rows(*(b.column(i).to_pylist() for i in range(3))))
+            rows = list(_tail_rows(*(b.column(i).to_pylist() for i in range(4))))
             if rows:
                 cols = list(zip(*rows))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in TAILS.split(", ")])
 
-    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.coalesce("source", F.lit("")).alias("source"))
+    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("copy"))
     return rows.mapInArrow(run, TAILS)
 
 
@@ -137,7 +140,7 @@ def _spark_filter_slots(k: int, ctx: np.ndarray) -> np.ndarray:
 
 def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
     """How often each word stands, stops and goes on, in the wanted contexts and without one:
-    ``k, ctx, word, stops, ends, goes`` (before a stop, at the end of a text, before more), counted over all texts and aggregated per batch before the shuffle."""
+    ``k, ctx, word, stops, ends, goes`` (before a stop, at the end of a text, before more), counted over all distinct texts (copies count once, white space at the end aside) and aggregated per batch before the shuffle."""
     held = documents.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def run(batches):
@@ -189,7 +192,9 @@ def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
                 seen, names = [], {}
                 canon, hashes, stopping = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
-    one = documents.where("text IS NOT NULL AND text <> ''").select("text").mapInArrow(run, STATS)
+    # Grouped by the texts themselves: exact, and a hot text shrinks to one row a task before the shuffle.
+    texts = documents.where("text IS NOT NULL").select(F.rtrim("text", F.lit(BLANKS)).alias("text")).where("text <> ''").distinct()
+    one = texts.mapInArrow(run, STATS)
     return one.groupBy("k", "ctx", "word").agg(*(F.sum(c).alias(c) for c in ("stops", "ends", "goes")))
 
 
@@ -225,10 +230,11 @@ def trie(stats: DataFrame) -> DataFrame:
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """Per source the length in characters, and in bytes, at which its texts pile up; null where they don't."""
+    """Per source the length in characters, and in bytes, at which its texts pile up; null where they don't. Copies within a source count once."""
+    texts = ends.select("source", "chars", "bytes", "copy").distinct()
 
     def pile(size: str) -> DataFrame:
-        per = ends.groupBy("source", size).agg(F.count(F.lit(1)).alias("n"))
+        per = texts.groupBy("source", size).agg(F.count(F.lit(1)).alias("n"))
         return per.groupBy("source").agg(F.max(F.struct(F.col(size).alias("v"), "n")).alias("m"), F.sum("n").alias("all"))
 
     def found(df: DataFrame, name: str) -> DataFrame:
@@ -241,8 +247,9 @@ def truncated(documents: DataFrame) -> DataFrame:
     """``doc_id, source, mark, at_limit, share`` of the texts that were cut before their end.
 
     ``share``: how much of the corpus stops where the text does (null if no context tells).
-    Null and blank texts are whole. Exact copies do not vouch for each other: a context counts
-    from four occurrences on, of which the text's own is left out.
+    Null and blank texts are whole. Copies do not vouch for each other, however many there are:
+    all counts are over distinct texts. A context counts from four occurrences on, of which the
+    text's own is left out.
     """
     # One pass over the texts gives all ends; only those without full stop go on.
     found = cut(tails(documents))
