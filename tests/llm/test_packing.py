@@ -83,3 +83,21 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (None, "x"), (4, "a" * 20000), (5, "<|endoftext|>")], "doc_id long, text string")
     got = {r["doc_id"]: r["tokens"] for r in P.token_counts(df).collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 1000 and got[5] > 1 and len(got) == 5
+
+
+def test_many_short_documents_in_a_window(spark):
+    for x in (3, 5, 6, 7):
+        per, times = P.plan(8192, {x: 5000})[0]
+        assert per == {x: 8192 // x} and times == 5000 // (8192 // x)
+    mixed = {3: 5000, 5: 4000, 7: 9000}
+    got = P.plan(8192, mixed)
+    assert {x: sum(per.get(x, 0) * n for per, n in got) for x in mixed} == mixed
+    assert sum(n for _, n in got) == -(-sum(x * n for x, n in mixed.items()) // 8192)
+    fill = check(spark, [(i, 7) for i in range(5000)], [(1, 8192)])
+    assert sorted(fill.values()) == [320 * 7] + [1170 * 7] * 4
+
+
+def test_filling_with_many_distinct_lengths():
+    left = {x: 1 for x in range(1, 3000)}
+    got = P.best_filling(1_000_000, sorted(left, reverse=True), left)
+    assert sum(got) == 1_000_000 and len(set(got)) == len(got)

@@ -11,6 +11,9 @@ their length by rank.
 from __future__ import annotations
 
 import os
+from bisect import bisect_left
+from collections import Counter
+from operator import neg
 
 import pandas as pd
 import pyarrow as pa
@@ -50,63 +53,57 @@ def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken"
 
 def best_filling(room: int, lengths: list[int], left: dict[int, int], most_steps: int = MOST_STEPS) -> list[int]:
     """Lengths that fill ``room`` with least waste, of those ``left``; of equal waste the one with
-    the larger lengths, which dominates. ``lengths``: all lengths left, falling."""
-
-    def best_fit() -> list[int]:
-        out, r = [], room
-        for x in lengths:
-            while x <= r and out.count(x) < left[x]:
-                out.append(x)
-                r -= x
-            if r < lengths[-1]:
-                break
-        return out
+    the larger lengths, which dominates. ``lengths``: all lengths left, falling.
 
+    A step takes a length and how often it comes, so the search is no deeper than a filling has
+    distinct lengths, however many documents it holds; its stack is its own.
+    """
     if not lengths or room < lengths[-1]:
         return []
-    incumbent = best_fit()
-    waste = room - sum(incumbent)
-    steps = 0
-    have = set(lengths)
-    small = lengths[-1]
-
-    def search(at: int, r: int, chosen: list[int]) -> bool:
-        """True once nothing better can be found or the steps are used up."""
-        nonlocal incumbent, waste, steps
+    best, waste = [], room
+    for x in lengths:  # best fit
+        if x <= waste:
+            n = min(left[x], waste // x)
+            best.append((x, n))
+            waste -= x * n
+        if waste < lengths[-1]:
+            break
+    small, have = lengths[-1], set(lengths)
+
+    def choices(at: int, r: int):
+        """Next length and count for the room left, from large to small."""
+        for k in range(bisect_left(lengths, -r, lo=at, key=neg), len(lengths)):
+            x = lengths[k]
+            most = min(left[x], r // x)
+            # Of the smallest length, fewer than possible is never better.
+            for n in range(most, most - 1 if k == len(lengths) - 1 else 0, -1):
+                # Waste bound: where nothing fits behind x, the rest of the room is wasted.
+                if r - n * x >= small or r - n * x < waste:
+                    yield k, n
+
+    steps, chosen, stack = 1, [], [(room, choices(0, room))]
+    if room in have:
+        best, waste = [(room, 1)], 0
+    while stack and waste > 0 and steps <= most_steps:
+        r, open_ = stack[-1]
+        k, n = next(open_, (None, 0))
+        if k is None:
+            stack.pop()
+            if chosen:
+                chosen.pop()
+            continue
         steps += 1
+        chosen.append((lengths[k], n))
+        r -= n * lengths[k]
         if r < waste:
-            incumbent, waste = chosen[:], r
-        if waste == 0 or steps > most_steps:
-            return True
+            best, waste = chosen[:], r
+        if r in have and k + 1 < len(lengths) and r <= lengths[k + 1]:
+            best, waste = [*chosen, (r, 1)], 0
         if r < small:
-            return False
-        if r in have and r <= (lengths[at] if at < len(lengths) else 0) and chosen.count(r) < left[r]:
-            incumbent, waste = [*chosen, r], 0
-            return True
-        lo, hi = at, len(lengths)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if lengths[mid] <= r:
-                hi = mid
-            else:
-                lo = mid + 1
-        for k in range(lo, len(lengths)):
-            x = lengths[k]
-            n = chosen.count(x)
-            if n >= left[x]:
-                continue
-            # Waste bound: with x as the last length that fits, the rest of the room is wasted.
-            if r - x < small and r - x >= waste:
-                continue
-            chosen.append(x)
-            done = search(k, r - x, chosen)
             chosen.pop()
-            if done:
-                return True
-        return False
-
-    search(0, room, [])
-    return incumbent
+        else:
+            stack.append((r, choices(k + 1, r)))
+    return [x for x, n in best for _ in range(n)]
 
 
 def plan(capacity: int, histogram: dict[int, int]) -> list[tuple[dict[int, int], int]]:
@@ -120,7 +117,7 @@ def plan(capacity: int, histogram: dict[int, int]) -> list[tuple[dict[int, int],
         rest = [x for x in lengths if left[x] > 0]
         filling = [largest, *best_filling(capacity - largest, rest, left)]
         left[largest] += 1
-        per = {x: filling.count(x) for x in filling}
+        per = dict(Counter(filling))
         times = min(left[x] // n for x, n in per.items())
         for x, n in per.items():
             left[x] -= n * times
