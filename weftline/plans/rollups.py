@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import numbers, text
-from weftline.operators import aggregates, sets
+from weftline.operators import aggregates, manifests, sets
 from weftline.plans.registry import query
 
 STATUS = ("phantom", "unenforced", "failing", "unverified", "unmapped", "partial", "verified", "demonstrated", "exercised")
@@ -255,6 +255,12 @@ def d3(t):
     return sets.value_diff(side("a"), side("b"), ["feature_id", "path"], "value")
 
 
+@query("d3_manifest_changes")
+def d3_changes(t):
+    """Every change of a manifest between one version and the next, by path."""
+    return manifests.manifest_changes(t("features"))
+
+
 @query("d4_introduced_resolved", "WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' AND l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_returnflag = 'R') SELECT l_suppkey, 'introduced' AS what, count(*) AS n FROM b ANTI JOIN a USING (l_suppkey, l_partkey) GROUP BY 1 UNION ALL SELECT l_suppkey, 'resolved', count(*) FROM a ANTI JOIN b USING (l_suppkey, l_partkey) GROUP BY 1")
 def d4(t):
     l = t("lineitem").where("l_returnflag = 'R'")  # noqa: E741
