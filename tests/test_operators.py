@@ -153,3 +153,11 @@ def test_deterministic_over_partitions(spark, sf):
     a = aggregates.changes_only(e, ["user_id"], ["ts", "event_id"], ["event_type"])
     b = aggregates.changes_only(e.repartition(7), ["user_id"], ["ts", "event_id"], ["event_type"])
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_long_routes(spark):
+    long = "/".join("abcdefghijklmnopqrst")
+    routes = spark.createDataFrame([("GET", f"/{long}/{{id}}"), ("GET", "/{x}/" + long[2:] + "/u"), ("GET", "/" + "/".join(["{p}"] * 40))], "method string, path string")
+    calls = spark.createDataFrame([("GET", f"/{long}/7"), ("GET", f"/{long}/u"), ("POST", f"/{long}/7"), ("GET", f"/{long}/7/8"), ("GET", "/" + "/".join("x" * 40))], "method string, path string")
+    got = {(r["method"], r["path"]): (r["routes"], r["outcome"]) for r in joins.route_join(calls, routes).collect()}
+    assert got == {("GET", f"/{long}/7"): (1, "edge"), ("GET", f"/{long}/u"): (2, "ambiguous"), ("POST", f"/{long}/7"): (0, "no_route"), ("GET", f"/{long}/7/8"): (0, "no_route"), ("GET", "/" + "/".join("x" * 40)): (1, "edge")}

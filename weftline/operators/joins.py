@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.scale import checked_broadcast
 from weftline.functions.text import dotted, wild_segments
 
 
@@ -111,14 +112,16 @@ def route_join(calls: DataFrame, routes: DataFrame, method: str = "method", path
     """Calls with the routes they reach: ``method, path, routes, route, outcome``.
 
     Equal method (a null route method fits any), equal number of segments, each route segment
-    equal or a parameter. Each call is written in all ways with parameters in place of
-    segments (at most 2^segments, paths over 12 segments match literally) and joined on that.
+    equal or a parameter. Each call is written with parameters in place of segments, in the ways
+    that routes of as many segments have them, and joined on that; paths may have any length.
     """
-    r = routes.where(F.col(path).isNotNull()).select(F.col(method).alias("rm"), F.array_join(wild_segments(F.col(path)), "/").alias("k"), F.col(path).alias("route")).distinct()
+    wild = F.array_join(F.transform("s", lambda x: F.when(x == "{}", F.lit("1")).otherwise(F.lit("0"))), "")
+    seg = routes.where(F.col(path).isNotNull()).select(F.col(method).alias("rm"), F.col(path).alias("route")).distinct().withColumn("s", wild_segments(F.col("route")))
+    r = seg.select("rm", F.array_join("s", "/").alias("k"), "route")
+    masks = seg.select(wild.alias("m")).distinct().withColumn("n", F.length("m"))
     c = calls.where(F.col(path).isNotNull()).select(F.col(method).alias("method"), F.col(path).alias("path")).distinct()
-    seg = c.withColumn("s", wild_segments(F.col("path"))).withColumn("n", F.least(F.size("s"), F.lit(12)))
-    masks = F.when(F.size("s") <= 12, F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2), F.col("n")) - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    forms = seg.select("method", "path", F.explode(masks).alias("m"), "s").select("method", "path", F.array_join(F.transform("s", lambda x, i: F.when(F.pmod(F.floor(F.col("m") / F.pow(F.lit(2), i)), F.lit(2)) == 1, F.lit("{}")).otherwise(x)), "/").alias("k")).distinct()
+    ways = c.withColumn("s", wild_segments(F.col("path"))).withColumn("n", F.size("s")).join(checked_broadcast(masks), "n")
+    forms = ways.select("method", "path", F.array_join(F.transform("s", lambda x, i: F.when(F.substring(F.col("m"), i + 1, F.lit(1)) == "1", F.lit("{}")).otherwise(x)), "/").alias("k")).distinct()
     hit = forms.join(r, "k").where(F.col("rm").isNull() | (F.col("rm") == F.col("method")) | F.col("method").isNull())
     per = hit.groupBy("method", "path").agg(F.countDistinct("k").alias("n"), F.min("route").alias("route"))
     per = per.withColumnsRenamed({"method": "_m", "path": "_p"})
