@@ -3,6 +3,8 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from weftline.operators import hierarchy as H
 
 
@@ -74,3 +76,25 @@ def test_descendants(spark):
     labels = H.hierarchy(df, intervals=True)
     got = sorted(tuple(r) for r in H.descendants(labels, spark.createDataFrame([("a",), ("b",)], "k string")).collect())
     assert got == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
+
+
+def test_descendants_over_many_buckets(spark):
+    parent = {f"{i:04}": None if i == 0 else f"{i - 1:04}" if i < 600 else f"{i % 7:04}" for i in range(1200)}
+    labels = H.hierarchy(spark.createDataFrame(list(parent.items()), "k string, parent string"), intervals=True)
+    want = set()
+    for k in parent:
+        up, d = parent[k], 1
+        while up is not None:
+            want.add((up, k, d))
+            up, d = parent[up], d + 1
+    got = [tuple(r) for r in H.descendants(labels, labels).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_query_lists_descendants(spark, sf):
+    from weftline import plans
+
+    q = plans.queries()
+    rows = {(r["graph"], r["source"], r["node_id"]): r["n"] for r in q["p2_below"](spark, sf).groupBy("graph", "source", "node_id").agg(F.count("*").alias("n")).collect()}
+    want = {(r["graph"], r["source"], r["node_id"]): r["subtree"] - 1 for r in q["p2_descendants"](spark, sf).where("subtree > 1").collect()}
+    assert want and rows == want

@@ -193,15 +193,21 @@ def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, se
     return named.join(roots, "rid", "left").drop("id", "rid")
 
 
+#: Places of a tree that a join of intervals takes together.
+BUCKET = 256
+
+
 def descendants(labels: DataFrame, queries: DataFrame) -> DataFrame:
     """All proper descendants of the nodes ``k`` in ``queries``: ``(k, descendant, below)``.
 
-    Joins on the tree's root and the interval ``tree_pre < x < tree_pre + subtree``; the
-    result is as large as the answer and no larger.
+    An interval ``tree_pre < x < tree_pre + subtree`` is cut at multiples of ``BUCKET`` and joined on
+    root and bucket, so a query meets its answer and at most two buckets more, not its whole tree.
     """
-    q = labels.join(queries.select("k").distinct(), "k", "left_semi").where("depth >= 0").select("k", "root", F.col("tree_pre").alias("lo"), (F.col("tree_pre") + F.col("subtree")).alias("hi"), F.col("depth").alias("d0"))
-    n = labels.where("depth >= 0").select(F.col("k").alias("descendant"), "root", "tree_pre", "depth")
-    return q.join(n, "root").where("tree_pre > lo AND tree_pre < hi").select("k", "descendant", (F.col("depth") - F.col("d0")).alias("below"))
+    q = labels.join(queries.select("k").distinct(), "k", "left_semi").where("depth >= 0 AND subtree > 1").select("k", "root", F.col("tree_pre").alias("lo"), (F.col("tree_pre") + F.col("subtree")).alias("hi"), F.col("depth").alias("d0"))
+    bucket = lambda c: F.floor(c / BUCKET)
+    q = q.withColumn("b", F.explode(F.sequence(bucket(F.col("lo") + 1), bucket(F.col("hi") - 1))))
+    n = labels.where("depth >= 0").select(F.col("k").alias("descendant"), "root", "tree_pre", "depth", bucket(F.col("tree_pre")).alias("b"))
+    return q.join(n, ["root", "b"]).where("tree_pre > lo AND tree_pre < hi").select("k", "descendant", (F.col("depth") - F.col("d0")).alias("below"))
 
 
 SEP = "\x1f"

@@ -48,6 +48,14 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("graph", "source", "node_id", "root_id", "tree_pre", "subtree")
 
 
+def p2_below(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node with each of its descendants and how far below it is, one row each."""
+    labels = cut(hierarchy.hierarchy(_graphs(spark, sf), intervals=True))
+    part = lambda c, i: F.split(c, hierarchy.SEP).getItem(i)
+    out = hierarchy.descendants(labels, labels)
+    return out.select(part("k", 0).alias("graph"), part("k", 1).alias("source"), part("k", 2).alias("node_id"), part("descendant", 2).alias("descendant_id"), "below")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Promises added, removed or changed from each snapshot to the next."""
     return snapshots.promise_changes(table(spark, sf, "audit_rows")).select("snapshot_no", "promise", "change")
@@ -75,7 +83,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("doc").alias("manifest_id"), "child", "parent_ordinal", "ordinal", F.coalesce(item, F.lit("")).alias("item"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_brds, p2_found, p2_paths, p2_descendants, p3_found, p3_values, p4_found, p4_counts, p5_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_brds, p2_found, p2_paths, p2_descendants, p2_below, p3_found, p3_values, p4_found, p4_counts, p5_found)}
 
 _P3 = r"""
 WITH n AS (
