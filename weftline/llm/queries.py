@@ -17,8 +17,16 @@ def p6_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_usage(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows used and room left per window size."""
-    return packing.usage(p6_windows(spark, sf), table(spark, sf, "context_windows"))
+    """Windows used and room left per window size, and how near to the fewest possible."""
+    sizes, windows = cut(packing.token_counts(table(spark, sf, "documents"))), table(spark, sf, "context_windows")
+    plans = packing.window_plans(sizes, windows)
+    return packing.usage(packing.pack(sizes, windows, plans), windows, plans)
+
+
+def p6_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What a right packing never has, counted per window size."""
+    sizes, windows = cut(packing.token_counts(table(spark, sf, "documents"))), table(spark, sf, "context_windows")
+    return packing.faults(cut(packing.pack(sizes, windows)), sizes, windows)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,5 +45,7 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.source_shares(documents, truncation.truncated(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_windows, p6_usage, p7_found, p8_found, p8_sources)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_windows, p6_usage, p6_faults, p7_found, p8_found, p8_sources)}
+SQL: dict[str, str] = {
+    "p6_faults": "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS overfull, 0 AS incomplete, 0 AS torn FROM context_windows WHERE capacity_tokens > 0 GROUP BY window_id",
+}
