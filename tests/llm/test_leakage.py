@@ -58,7 +58,7 @@ def test_items_in_blocks(spark, monkeypatch):
     rnd = random.Random(6)
     items = [(i, passage(rnd, 40)) for i in range(9)]
     docs = [(i, t) for i, t in items]
-    monkeypatch.setattr(L, "BLOCK", 4)
+    monkeypatch.setattr(L, "BLOCK_LETTERS", 500)
     assert found(spark, docs, items) == [(i, i) for i in range(9)]
 
 
@@ -72,3 +72,51 @@ def test_least_shared_is_a_lower_bound():
         doc_shingles = {tuple(doc[i : i + 5]) for i in range(len(doc) - 4)}
         shared = sum(tuple(w[i : i + 5]) in doc_shingles for i in range(n - 4))
         assert shared >= L.least_shared(20)
+
+
+def planted(rnd, item, edges):
+    """A document with stretches of 15 to 24 words that hold just enough of the item, each with one
+    word in eight altered or left out, in any order, and how many words they hold."""
+    need, parts, total, at = L.needed(len(item)), [], 0, 0
+    while total < need and at + 15 <= len(item):
+        n = min(rnd.randrange(15, 25), len(item) - at)
+        hit = set(rnd.sample(range(n) if edges else range(1, n - 1), n // L.ONE_IN))
+        parts.append([f"zq{rnd.randrange(99)}" if j in hit else w for j, w in enumerate(item[at : at + n]) if j not in hit or rnd.random() < 0.6])
+        total, at = total + n, at + n + rnd.randrange(3)
+    rnd.shuffle(parts)
+    return [w for p in parts for w in passage(rnd, rnd.randrange(1, 40)).split() + p] + passage(rnd, 5).split(), total
+
+
+def test_recall_of_altered_stretches():
+    """Stretches as short and altered as they may be; words also come elsewhere in the document."""
+    rnd, tried, lost = random.Random(12), 0, 0
+    for _ in range(1500):
+        item = passage(rnd, rnd.randrange(40, 140)).split()
+        doc, total = planted(rnd, item, False)
+        if total >= L.needed(len(item)):
+            tried += 1
+            lost += L.holds(item, doc) < L.needed(len(item))
+    assert tried > 1000 and lost <= tried // 1000
+
+
+def test_items_hold_themselves():
+    for phrase in (1, 2, 5, 6, 7):
+        item = [f"w{i}" for i in range(phrase)] * 40
+        assert L.holds(item, item) == len(item)
+        assert L.holds(item, item[: len(item) // 2] + ["x"] * 9 + item[len(item) // 2 :]) >= len(item) // 2
+    rnd = random.Random(4)
+    item = passage(rnd, 300).split()
+    doc = [w for k in range(60) for w in passage(rnd, 8).split() + item[k * 5 : k * 5 + 5]]
+    assert L.holds(item, doc) == 0  # sixty quotes of five words
+    assert L.holds(item, doc + item[:120]) == 120
+
+
+def test_long_tags_and_run_together_words(spark):
+    p = passage(random.Random(3), 40)
+    w = p.split()
+    docs = [(1, " ".join(f'<a href="{"x" * 400}">{x}</a>' for x in w)), (2, "".join(w)), (3, " ".join(x[:2] + " " + x[2:] if i % 5 == 0 else x for i, x in enumerate(w)))]
+    assert found(spark, docs, [(1, p)]) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_in_place():
+    assert L.in_place([(0, 1), (10, 2), (100, 3), (300, 4)], 20) == {1, 2} and L.in_place([], 5) == set()

@@ -1,17 +1,17 @@
 """Evaluation texts leaking into training text (problem 7): a prefix-filtered set join.
 
-Items are cut into shingles of five words. A document is read as one stream of letters and
-digits, so that case, punctuation, spacing, markup and broken words fall away, and searched
-for all shingles at once. From the documents' hits follows how rare each shingle is; each
-item's necessary prefix are its rarest shingles, of which every document that holds enough of
-it must share one. Pairs that share one, and shingles enough, are verified word by word over
-windows as long as the item.
+Items are cut into shingles of five words, which stand in one order from rare to frequent, as the
+words in all documents tell. Each item's necessary prefix are its rarest shingles, of which every
+document that holds enough of it must share one; only these are searched for. A document is read
+as one stream of letters and digits, so that case, punctuation, spacing, markup and broken words
+fall away. Pairs that share a prefix shingle must pass bounds of length, count and position, and
+are then verified word by word over windows of the item's size.
 """
 
 from __future__ import annotations
 
-import difflib
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,11 +28,14 @@ from weftline.functions.scale import checked_broadcast, cut
 SHINGLE, STRETCH, LEAST_WORDS, ONE_IN = 5, 15, 20, 8
 #: Words that may stand between two words of a stretch besides those they replace.
 STRAY_WORDS = 3
-#: Items that are searched for at once; more are taken in blocks of this many.
-BLOCK = 5_000
+#: Words without a shared shingle that a stretch may run on behind one: six runs of four words and
+#: five altered ones. By as many and the stray ones its two sides may shift against each other.
+REACH, DRIFT = 30, 5 + STRAY_WORDS
+#: Letters of the items that are searched for at once; more are taken in blocks.
+BLOCK_LETTERS = 4_000_000
 
 _BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|th|tr|table|h\d|hr|pre|blockquote)\b[^<>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿᠎\u0000-\u0008]")
 _BREAK = re.compile(r"(?<=\w)[-‐‑]\s*\n[\s>|#*/;%+-]*(?=\w)")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
@@ -71,178 +74,264 @@ def needed(words: int) -> int:
     return max(LEAST_WORDS, -(-words // 3))
 
 
-def stretches(item: list[str], doc: list[str], seeds: list[tuple[int, int]]) -> int:
-    """Words of ``item`` that ``doc`` holds in admissible stretches; ``seeds`` are (item, doc) places of shared shingles."""
-    seeds = sorted(seeds, key=lambda s: (s[1], s[0]))
-    chains: list[list[tuple[int, int]]] = []
-    for i, p in seeds:
-        for chain in reversed(chains[-40:]):
-            li, lp = chain[-1]
-            if i >= li and p - lp <= 2 * STRETCH and abs((p - lp) - (i - li)) <= 2 * STRAY_WORDS:
-                chain.append((i, p))
-                break
+Block = tuple[int, int, int]  # place in the item, place in the document, words
+
+
+def _anchors(item: list[str], doc: list[str]) -> list[Block]:
+    """The longest runs of five words or more that both hold, along each diagonal."""
+    at: dict[tuple[str, ...], list[int]] = {}
+    for i, gram in enumerate(zip(*(item[k:] for k in range(SHINGLE)))):
+        at.setdefault(gram, []).append(i)
+    first = {g[0] for g in at}
+    open_: dict[int, list[int]] = {}
+    runs = []
+    for p in range(len(doc) - SHINGLE + 1):
+        if doc[p] in first:
+            for i in at.get(tuple(doc[p : p + SHINGLE]), ()):
+                run = open_.get(p - i)
+                if run and run[1] + run[2] - SHINGLE + 1 == p:
+                    run[2] += 1
+                else:
+                    open_[p - i] = run = [i, p, SHINGLE]
+                    runs.append(run)
+    return [(i, p, n) for i, p, n in runs]
+
+
+def _groups(anchors: list[Block]) -> list[list[Block]]:
+    """Anchors that may lie in one stretch together: near each other in the document, on diagonals
+    that differ by no more than words left out and put in make them differ."""
+    groups: list[list[Block]] = []
+    for a in sorted(anchors, key=lambda x: (x[1], x[0])):
+        near = [g for g in groups if any(a[1] - (p + n) <= REACH and abs((a[1] - a[0]) - (p - i)) <= DRIFT for i, p, n in g)]
+        if near:
+            for g in near[1:]:
+                near[0].extend(g)
+                groups.remove(g)
+            near[0].append(a)
         else:
-            chains.append([(i, p)])
-    spans: list[tuple[int, int]] = []
-    for chain in chains:
-        i0, p0 = chain[0]
-        i1, p1 = chain[-1]
-        back, on = min(i0, 2 * STRETCH), min(len(item) - i1, 2 * STRETCH)
-        a, b = i0 - back, i1 + on
-        c, d = max(0, p0 - back - STRAY_WORDS), min(len(doc), p1 + on + STRAY_WORDS)
-        match = [(a + m.a + k, c + m.b + k) for m in difflib.SequenceMatcher(None, item[a:b], doc[c:d], False).get_matching_blocks() for k in range(m.size)]
-        run: list[tuple[int, int]] = []
-        for at in match:
-            if run and (at[1] - run[-1][1]) - (at[0] - run[-1][0]) > STRAY_WORDS:
-                spans += _admissible([x[0] for x in run])
-                run = []
-            run.append(at)
-        spans += _admissible([x[0] for x in run])
-    held: set[int] = set()
-    for a, b in spans:
-        held.update(range(a, b + 1))
-    return len(held)
-
-
-def _admissible(places: list[int]) -> list[tuple[int, int]]:
-    """Disjoint spans of item places, as many words as possible in sum, each of 15 words or more
-    with at most one in eight missing among ``places``."""
-    n = len(places)
-    best: list[tuple[int, int, int]] = [(0, -1, -1)]  # words in sum, first and last index of the last span
-    for j in range(n):
-        top = (best[j][0], -1, -1)
-        for i in range(j + 1):
-            length = places[j] - places[i] + 1
-            missing = length - (j - i + 1)
-            if length >= STRETCH and missing * ONE_IN <= length and best[i][0] + length > top[0]:
-                top = (best[i][0] + length, i, j)
+            groups.append([a])
+    return groups
+
+
+def _blocks_near(item: list[str], doc: list[str], places: dict[str, list[int]], group: list[Block]) -> list[Block]:
+    """All runs of equal words, single ones too, in reach of a group of anchors and near its diagonals."""
+    low, high = min(p for _, p, _ in group) - REACH, max(p + n for _, p, n in group) + REACH
+    first, last = min(i for i, _, _ in group) - REACH, max(i + n for i, _, n in group) + REACH
+    left, right = min(p - i for i, p, _ in group) - DRIFT, max(p - i for i, p, _ in group) + DRIFT
+    open_: dict[int, list[int]] = {}
+    runs = []
+    for p in range(max(0, low), min(len(doc), high)):
+        for i in places.get(doc[p], ()):
+            if left <= p - i <= right and first <= i < last:
+                run = open_.get(p - i)
+                if run and run[1] + run[2] == p:
+                    run[2] += 1
+                else:
+                    open_[p - i] = run = [i, p, 1]
+                    runs.append(run)
+    return [(i, p, n) for i, p, n in runs]
+
+
+def _spans(blocks: list[Block], most_missing: int) -> Iterator[tuple[int, int]]:
+    """First and last item place of the stretches that the blocks make: 15 words or more, of which
+    at most one in eight is altered or left out; for each block and number of missing words the
+    longest that ends there. In a stretch both sides rise, and no more than ``STRAY_WORDS`` are put
+    in between two blocks beside those they replace.
+    """
+    blocks = sorted(blocks, key=lambda b: (b[1] + b[2], b[0] + b[2]))
+    best: list[dict[int, int]] = []  # by words missing so far: most words held
+    for k, (i, p, n) in enumerate(blocks):
+        top = {0: n}
+        for j in range(k - 1, -1, -1):
+            li, lp, ln = blocks[j]
+            if p - (lp + ln) > most_missing + STRAY_WORDS:
+                break
+            off = max(0, li + ln - i, lp + ln - p)  # where both overlap, the later one gives way
+            missing, put_in = i + off - (li + ln), p + off - (lp + ln)
+            if off < n and missing <= most_missing and put_in - missing <= STRAY_WORDS:
+                for m, held in best[j].items():
+                    if m + missing <= most_missing and held + n - off > top.get(m + missing, 0):
+                        top[m + missing] = held + n - off
         best.append(top)
-    out, j = [], n
-    while j > 0:
-        _, i, last = best[j]
-        if i < 0:
-            j -= 1
-        else:
-            out.append((places[i], places[last]))
-            j = i
-    return out
+        for m, held in top.items():
+            if held + m >= STRETCH and m * ONE_IN <= held + m:
+                yield i + n - held - m, i + n - 1
 
 
 #: Longer words are words run together.
 RUN_TOGETHER = 24
 
 
-def _mend(doc: list[str], known: set[str]) -> list[str]:
+def _mend(doc: list[str], known: set[str], inside: re.Pattern) -> list[str]:
     """Join two neighbours that are one of the item's words broken in two, and part item words that run together."""
     out: list[str] = []
-    inside = None
     for w in doc:
-        if len(w) > RUN_TOGETHER and w not in known:
-            inside = inside or re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True))))
+        if w in known:
+            if out and out[-1] not in known and out[-1] + w in known:
+                out[-1] += w
+            else:
+                out.append(w)
+        elif len(w) > RUN_TOGETHER:
             at = 0
             for m in inside.finditer(w):
                 out += [w[at : m.start()], m[0]] if m.start() > at else [m[0]]
                 at = m.end()
             out += [w[at:]] if at < len(w) else []
-        elif w not in known and (cut_at := next((i for i in range(1, len(w)) if w[:i] in known and w[i:] in known), 0)):
+        elif cut_at := next((i for i in range(1, len(w)) if w[:i] in known and w[i:] in known), 0):
             out += [w[:cut_at], w[cut_at:]]
-        elif out and (w not in known or out[-1] not in known) and out[-1] + w in known:
+        elif out and out[-1] + w in known:
             out[-1] += w
         else:
             out.append(w)
     return out
 
 
-def holds(item: list[str], doc: list[str]) -> int:
-    """Words of the item in admissible stretches of the document (0 if no shingle is shared)."""
-    doc = _mend(doc, set(item))
-    at: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(item) - SHINGLE + 1):
-        at.setdefault(tuple(item[i : i + SHINGLE]), []).append(i)
-    seeds = [(i, p) for p in range(len(doc) - SHINGLE + 1) for i in at.get(tuple(doc[p : p + SHINGLE]), ())]
-    return stretches(item, doc, seeds) if seeds else 0
+class Item:
+    """An item's words and what its verification needs again for every document."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.known = words, set(words)
+        self.wanted = needed(len(words))
+        self.shared = least_shared(self.wanted)
+        lengths = sorted(map(len, words))
+        self.least_letters = sum(lengths[: self.wanted - self.wanted // ONE_IN])
+        # Between two shingles of a stretch lie at most the item and what was altered or put in.
+        self.window = sum(lengths) + RUN_TOGETHER * (STRAY_WORDS + 1) * (len(words) // ONE_IN + 1)
+        self.places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            self.places.setdefault(w, []).append(i)
+        self.inside = re.compile("|".join(map(re.escape, sorted(self.known, key=len, reverse=True))) or "(?!)")
+
+    def held(self, doc: list[str]) -> int:
+        """Words of the item in admissible stretches of the document, which is taken as it is."""
+        anchors = _anchors(self.words, doc)
+        held: set[int] = set()
+        for i, _, n in anchors:
+            if n >= STRETCH:
+                held.update(range(i, i + n))
+        if len(held) >= self.wanted:
+            return len(held)
+        for group in _groups(anchors):
+            for a, b in _spans(_blocks_near(self.words, doc, self.places, group), len(self.words) // ONE_IN):
+                held.update(range(a, b + 1))
+        return len(held)
+
+    def holds(self, doc: list[str]) -> int:
+        """Words of the item that the document holds, broken words mended where that is needed to tell."""
+        n = self.held(doc)
+        return n if n >= self.wanted else max(n, self.held(_mend(doc, self.known, self.inside)))
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items with 20 words or more, in blocks of bounded size, each once."""
-    one = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
-    n = one.count()
-    parts = -(-n // BLOCK)
-    for b in range(parts):
-        rows = (one if parts == 1 else one.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == b)).collect()
-        yield [(r["item_id"], w) for r in rows if len(w := words_of(r["text"])) >= LEAST_WORDS]
+def holds(item: list[str], doc: list[str]) -> int:
+    return Item(item).holds(doc)
 
 
-def _search(documents: DataFrame, shingles: list[str], least: int) -> DataFrame:
-    """``doc_id, words, hits``: the documents with at least ``least`` different shingles."""
+def _one_each(items: DataFrame) -> DataFrame:
+    return items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
 
-    def scan(batches):
-        import ahocorasick
 
-        find = ahocorasick.Automaton()
-        for n, s in enumerate(shingles):
-            find.add_word(s, n)
-        find.make_automaton()
+def _normalised(df: DataFrame, key: str) -> DataFrame:
+    """``key, words``: the words of each text, with a space between them."""
+
+    def run(batches):
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                stream = "".join(words)
-                hits = {n for _, n in find.iter(stream)} if len(stream) >= LEAST_WORDS * (ONE_IN - 1) // ONE_IN else ()
-                if len(hits) >= least:
-                    rows.append((doc, " ".join(words), sorted(hits)))
-            if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32()))], names=["doc_id", "words", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words_of(t)) for t in b.column(1).to_pylist()], pa.string())], names=[key, "words"])
 
-    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, words string, hits array<int>")
+    return df.select(F.col(key).cast("long"), "text").mapInArrow(run, f"{key} long, words string")
 
 
-def _block_leaks(documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame | None:
-    spark = documents.sparkSession
-    number: dict[str, int] = {}
-    postings = []
+def _word_counts(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """``w, n``: in how many documents each word of the items stands. Each task sends a word once."""
+    known = items.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).distinct()
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    return texts.select(F.explode(words).alias("w")).join(checked_broadcast(known, 200_000), "w").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _prefixes(items: list[tuple[int, list[str]]], counts: dict[str, int]) -> tuple[dict[str, list[int]], dict[int, list[str]]]:
+    """The prefix shingles with the items that have them, and the other shingles of each item.
+
+    All shingles stand in one order, from rare to frequent, as the words in them tell. A document
+    that holds enough of an item has ``least_shared`` of its shingles or more, so it has one of all
+    but the last ``least_shared - 1``.
+    """
+    rarity: dict[str, float] = {}
+    prefix: dict[str, list[int]] = {}
+    rest: dict[int, list[str]] = {}
     for item, words in items:
-        own = {number.setdefault("".join(words[i : i + SHINGLE]), len(number)) for i in range(len(words) - SHINGLE + 1)}
-        postings.append((item, sorted(own)))
-    if not number:
-        return None
-    shared = {item: least_shared(needed(len(words))) for item, words in items}
-    found = cut(_search(documents, list(number), min(shared.values())))
-    # Rarity over all documents: at most one row per shingle of the block.
-    seen = {r["h"]: r["n"] for r in found.select(F.explode("hits").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prefix = []
-    for item, own in postings:
-        rare = sorted(own, key=lambda s: (seen.get(s, 0), s))
-        prefix += [(item, s) for s in rare[: len(rare) - shared[item] + 1] if s in seen]
-    if not prefix:
-        return None
-    posted = spark.createDataFrame(prefix, "item_id long, h int")
-    pairs = found.select("doc_id", F.explode("hits").alias("h")).join(checked_broadcast(posted, 200_000), "h").select("doc_id", "item_id").distinct()
-    per_doc = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))  # at most a block of items
-    text = dict(items)
-    own_of = {item: set(own) for item, own in postings}
-
-    def verify(batches):
+        own = {"".join(words[i : i + SHINGLE]): words[i : i + SHINGLE] for i in range(len(words) - SHINGLE + 1)}
+        for s, w in own.items():
+            rarity.setdefault(s, sum(math.log1p(counts.get(x, 0)) for x in w))
+        order = sorted(own, key=lambda s: (rarity[s], s))
+        n = max(1, len(order) - least_shared(needed(len(words))) + 1)
+        for s in order[:n]:
+            prefix.setdefault(s, []).append(item)
+        rest[item] = order[n:]
+    return prefix, rest
+
+
+def in_place(hits: list[tuple[int, int]], window: int) -> set[int]:
+    """The shingles among ``hits (place in the document, shingle)`` that have another hit within a
+    window of so many letters. A stretch holds two shingles or more, so one alone belongs to none."""
+    hits = sorted(hits)
+    return {s for (p, a), (q, b) in zip(hits, hits[1:]) if q - p <= window for s in (a, b)}
+
+
+class _Search:
+    """All that a worker needs of a block of items; made once a process."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], prefix: dict[str, list[int]], rest: dict[int, list[str]]):
+        import ahocorasick
+
+        self.items, self.rest = {i: Item(w) for i, w in items}, rest
+        self.find = ahocorasick.Automaton()
+        for n, (s, own) in enumerate(prefix.items()):
+            self.find.add_word(s, (n, own))
+        self.find.make_automaton()
+
+    def leaks(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """``item, words held, item words`` of a document."""
+        stream = "".join(words)
+        found: dict[int, list[tuple[int, int]]] = {}
+        for at, (n, own) in self.find.iter(stream):
+            for item in own:
+                found.setdefault(item, []).append((at, n))
+        for item, hits in found.items():
+            it, rest = self.items[item], self.rest[item]
+            # Length bound, in letters since words may run together; then count and positional bounds.
+            if len(stream) < it.least_letters or len({n for _, n in hits}) + len(rest) < it.shared:
+                continue
+            for k, s in enumerate(rest):
+                at = stream.find(s)
+                while at >= 0:
+                    hits.append((at + len(s) - 1, -1 - k))
+                    at = stream.find(s, at + 1)
+            if len({n for _, n in hits}) < it.shared or len(in_place(hits, it.window)) < it.shared:
+                continue
+            if (n := it.holds(words)) >= it.wanted:
+                yield item, n, len(it.words)
+
+
+LEAKS = "doc_id long, item_id long, words_held int, item_words int"
+
+
+def _block_leaks(words: DataFrame | None, texts: DataFrame, items: list[tuple[int, list[str]]], counts: dict[str, int]) -> DataFrame:
+    """The leaks of one block of items in one pass over the documents, or their words if they are there."""
+    held = texts.sparkSession.sparkContext.broadcast({"block": (items, *_prefixes(items, counts))})
+    ready = words is not None
+
+    def scan(batches):
+        if "search" not in held.value:
+            held.value["search"] = _Search(*held.value["block"])
+        search = held.value["search"]
         for b in batches:
             rows = []
-            for doc, words, hits, cands in zip(*(b.column(i).to_pylist() for i in range(4))):
-                doc_words, held = words.split(" "), set(hits)
-                for item in cands:
-                    wanted = needed(len(text[item]))
-                    # Length bound, then the count of shared shingles, then the words themselves.
-                    if len(words) * ONE_IN < wanted * (ONE_IN - 1) or len(own_of[item] & held) < shared[item]:
-                        continue
-                    if (n := holds(text[item], doc_words)) >= wanted:
-                        rows.append((doc, item, n, len(text[item])))
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows += [(doc, *x) for x in search.leaks(text.split(" ") if ready else words_of(text))]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "words_held", "item_words"])
 
-    return found.join(per_doc, "doc_id").select("doc_id", "words", "hits", "items").mapInArrow(verify, LEAKS).distinct()
-
-
-LEAKS = "doc_id long, item_id long, words_held int, item_words int"
+    return (words if ready else texts).mapInArrow(scan, LEAKS)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -250,11 +339,23 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     words, and 20 or more, in stretches of 15 or more with at most one word in eight altered.
 
     Null texts and ids, and items of fewer than 20 words, give no rows; repeated rows give one.
-    Whole texts are searched; a hot source or much copied text is spread like any other.
+    Whole texts are searched; a hot source or much copied text is spread like any other. Items that
+    have more letters than ``BLOCK_LETTERS`` are taken in blocks; the documents are then brought
+    into words once, and the words searched once a block.
     """
+    spark = documents.sparkSession
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    known = cut(_normalised(_one_each(items), "item_id"))
+    counts = cut(_word_counts(texts, known))
+    blocks = -(-(known.agg(F.sum(F.length("words"))).first()[0] or 0) // BLOCK_LETTERS)
+    words = cut(_normalised(texts, "doc_id")) if blocks > 1 else None
     out = None
-    for block in _blocks(items):
-        part = _block_leaks(documents, block) if block else None
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else documents.sparkSession.createDataFrame([], T._parse_datatype_string(LEAKS))
+    for b in range(blocks):
+        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        # The driver holds a block of items and the counts of their words at a time.
+        rows = [(r["item_id"], w) for r in part.collect() if len(w := r["words"].split(" ")) >= LEAST_WORDS]
+        if rows:
+            own = part.select(F.explode(F.split("words", " ")).alias("w")).distinct()
+            found = _block_leaks(words, texts, rows, {r["w"]: r["n"] for r in counts.join(own, "w").collect()})
+            out = found if out is None else out.unionByName(found)
+    return out.distinct() if out is not None else spark.createDataFrame([], T._parse_datatype_string(LEAKS))
