@@ -50,7 +50,7 @@ def test_statistics_match_a_plain_count(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     import numpy as np
 
-    every = np.full(T.FILTER_BITS // 8, 255, dtype=np.uint8)
+    every = np.full(T.LEAST_BITS // 8, 255, dtype=np.uint8)
     got = {(r["k"], r["ctx"], r["word"]): (r["stops"], r["ends"], r["goes"]) for r in T.corpus_stats(df, every).collect()}
     want = {}
     for _, text, _ in rows:
@@ -70,7 +70,7 @@ def test_filter_knows_its_contexts(spark):
     rows = spark.createDataFrame([(k, c) for k in T.CONTEXTS for c in (0, -5, 2**62, 12345)], "k int, ctx long")
     bits = T._filter(rows)
     for k in T.CONTEXTS:
-        slots = T._spark_filter_slots(k, np.array([0, -5, 2**62, 12345], dtype=np.int64))
+        slots = T._spark_filter_slots(k, np.array([0, -5, 2**62, 12345], dtype=np.int64), 8 * len(bits))
         assert all((bits[s >> 3] >> (s & 7)) & 1 for s in slots)
     assert np.unpackbits(bits).sum() <= 16
 
@@ -88,5 +88,33 @@ def test_copies_are_no_limit(spark):
     texts = [(i, "x" * (10 + i) + ".", "s") for i in range(50)]
     copies = [(100 + i, "y" * 80 + ".", "s") for i in range(40)]
     limit = lambda rows: T.limits(T.tails(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()[0]["limit_chars"]
-    assert limit(texts + copies) is None
-    assert limit(texts + [(100 + i, f"{i:02}" + "y" * 78 + ".", "s") for i in range(40)]) == 81
+    assert limit(texts + copies) == []
+    assert limit(texts + [(100 + i, f"{i:02}" + "y" * 78 + ".", "s") for i in range(40)]) == [81]
+
+
+def test_several_limits_of_a_source(spark):
+    rnd = random.Random(5)
+    texts = [(i, "x" * rnd.randrange(20, 1500) + ".", "s") for i in range(600)]
+    piles = [(1000 + i, f"{i:03}" + "y" * 497, "s") for i in range(60)] + [(2000 + i, f"{i:03}" + "z" * 1197, "s") for i in range(60)]
+    got = T.limits(T.tails(spark.createDataFrame(texts + piles + [(3000, "a" * 3000, "s"), (3001, None, "t")], "doc_id long, text string, source string"))).collect()
+    assert len(got) == 1 and got[0]["limit_chars"] == [500, 1200] and got[0]["limit_bytes"] == [500, 1200]
+    only = T.limits(T.tails(spark.createDataFrame([r for r in piles[:60]] + [(9, "b" * 900, "s")], "doc_id long, text string, source string"))).collect()
+    assert only[0]["limit_chars"] == [500]
+
+
+def test_words_cut_behind_many_letters(spark):
+    """An unknown beginning of known words, however long; a known word and an unknown one that begins none are no such."""
+    word = "Abschlagsrechnungsbearbeitungsstellenleitung"
+    rows = corpus(random.Random(1), 100) + [(500 + i, f"{SENTENCES[i % 5]} The {word} answers. {SENTENCES[0]}", "s") for i in range(8)]
+    cut = [(2000, f"{SENTENCES[0]} The {word[:38]}", "s"), (2001, f"{SENTENCES[0]} The {word[:20]}", "s"), (2002, f"{SENTENCES[0]} {word[:36]}", "s")]
+    got = found(spark, rows + cut + [(3000, SENTENCES[0] + " qqzzkk", "s"), (3001, "z" * 50_000, "s")])
+    assert {d: r["evidence"] for d, r in got.items() if d < 3000} == {2000: "word", 2001: "word", 2002: "word"}
+    counts = {(r["source"], r["evidence"]): r["cut_texts"] for r in T.evidence_counts(T.truncated(spark.createDataFrame(rows + cut, "doc_id long, text string, source string"))).collect()}
+    assert counts == {("s", "word"): 3}
+
+
+def test_trie_counts_prefixes(spark):
+    stats = spark.createDataFrame([(0, 0, w, 1, 0, 2) for w in ("car", "care", "careful", "x" * 40, "x" * 41, "x" * 45)], "k int, ctx long, word string, stops long, ends long, goes long")
+    asked = spark.createDataFrame([(0, 0, w) for w in ("car", "ca", "careful", "dog", "x" * 40, "x" * 35, "x" * 45)], "k int, ctx long, last string")
+    got = {r["last"]: (r["stops"] + r["goes"], r["longer"]) for r in T.trie(stats, asked).collect()}
+    assert got == {"car": (3, 6), "ca": (0, 9), "careful": (3, 0), "x" * 40: (3, 6), "x" * 35: (0, 9), "x" * 45: (3, 0)}

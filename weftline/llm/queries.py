@@ -45,7 +45,12 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.source_shares(documents, truncation.truncated(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_windows, p6_usage, p6_faults, p7_found, p8_found, p8_sources)}
+def p8_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What tells that texts were cut, per source."""
+    return truncation.evidence_counts(truncation.truncated(table(spark, sf, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_windows, p6_usage, p6_faults, p7_found, p8_found, p8_sources, p8_evidence)}
 SQL: dict[str, str] = {
     "p6_faults": "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS overfull, 0 AS incomplete, 0 AS torn FROM context_windows WHERE capacity_tokens > 0 GROUP BY window_id",
 }

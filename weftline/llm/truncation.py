@@ -1,10 +1,11 @@
 """Text cut off by field limits (problem 8).
 
-All words of the corpus, alone and after each context of one to four words, form a trie kept
-as a table of nodes keyed by (context, prefix). A text's last token is looked up there: how
-often does the corpus stop after it, how often does it go on, and how often does a longer word
-stand that begins like it? Where the corpus almost always goes on, the text was cut. The
-length adds its evidence: sources with a field limit show many texts just as long as it.
+All words of the corpus form a trie kept as a table of nodes. A text whose last token is no known
+word but the proper beginning of known ones was cut within a word (evidence ``word``). For texts
+that end in a known word the same trie stands behind each context of one to four words: where the
+corpus almost always goes on, the text was cut between words (evidence ``context``). Length adds
+its evidence to both: sources with a field limit show many texts of one length. Open code blocks,
+broken letters and marks of a cut tell by themselves.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import checked_broadcast, cut
+from weftline.functions.scale import checked_broadcast, cut, salted
 
 #: Words before the last token that make a context.
 CONTEXTS = (1, 2, 3, 4)
-#: The filter of wanted contexts has this many bits, whatever the number of documents.
-FILTER_BITS = 1 << 25
+#: The filter of wanted contexts has so many bits for each of them, a power of two between the bounds.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 #: Occurrences that make a context count; below it the next shorter one decides.
 SUPPORT = 4
 #: A text is cut if the corpus stops there in less than this share of cases, by length evidence.
@@ -32,8 +33,9 @@ SHARE, SHARE_AT_LIMIT, SHARE_MARKED = 0.5, 0.9, 0.05
 #: Other texts that end the same way, and how many per occurrence that goes on, make an ending
 #: usual. Cuts fall anywhere, so they repeat one and the same place far less often.
 USUAL_TEXTS, USUAL_RATIO = 5, 0.1
-#: A source has a limit if this many texts, and this share of them, are as long as its longest.
-LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
+#: A length is a limit of a source if this many of its texts, and this share of them, have it, and so
+#: many times more than other lengths within so many characters have on average.
+LIMIT_TEXTS, LIMIT_SHARE, LIMIT_PEAK, LIMIT_NEAR = 3, 0.02, 5, 50
 #: A cut between words, or one that left a mark, ends at most this far before the limit.
 SLACK = 24
 
@@ -112,17 +114,21 @@ def tails(documents: DataFrame) -> DataFrame:
 
 
 def _filter(open_tails: DataFrame) -> np.ndarray:
-    """A bit per hash value of the wanted contexts: a filter of fixed size, gathered in slices of 4 KB."""
-    at = F.pmod(F.xxhash64("k", "ctx"), F.lit(FILTER_BITS))
-    slices = open_tails.where("k > 0").select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("slice")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in slices.collect():  # at most FILTER_BITS / 32768 rows
+    """A bit per hash value of the wanted contexts, gathered in slices of 4 KB. Its size follows the
+    number of contexts up to a bound of 128 MB; a fuller filter lets more through, and loses none."""
+    wanted = open_tails.where("k > 0")
+    n = wanted.agg(F.approx_count_distinct(F.xxhash64("k", "ctx"))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()))
+    at = F.pmod(F.xxhash64("k", "ctx"), F.lit(bits))
+    slices = wanted.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("slice")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in slices.collect():  # at most MOST_BITS / 32768 rows
         out[r["slice"] * 4096 : (r["slice"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out
 
 
-def _spark_filter_slots(k: int, ctx: np.ndarray) -> np.ndarray:
-    """The filter's places of contexts: Spark's ``xxhash64(k, ctx)``, seed 42, chained over both columns."""
+def _spark_filter_slots(k: int, ctx: np.ndarray, size: int) -> np.ndarray:
+    """The places of contexts in a filter of ``size`` bits: Spark's ``xxhash64(k, ctx)``, seed 42, chained over both columns."""
     with np.errstate(over="ignore"):
         first = np.uint64(xxhash.xxh64_intdigest(int(k).to_bytes(4, "little"), seed=42))
         p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -135,7 +141,7 @@ def _spark_filter_slots(k: int, ctx: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= p3
         h ^= h >> np.uint64(32)
-    return h.astype(np.int64) % FILTER_BITS
+    return h.astype(np.int64) % size
 
 
 def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -184,7 +190,7 @@ def corpus_stats(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
                     ctx[k:] += h[:-k] * power
                     power = power * _SEED
                     ok = np.flatnonzero(place >= k)
-                    slot = _spark_filter_slots(k, ctx[ok].view(np.int64))
+                    slot = _spark_filter_slots(k, ctx[ok].view(np.int64), 8 * len(bits))
                     keep = ok[((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)]
                     yield _stat_rows(k, ctx[keep], word[keep], flag[keep], vocabulary)
             if len(seen) > 2_000_000:  # bounds a worker's memory on endless vocabularies
@@ -215,38 +221,52 @@ def _stat_rows(k: int, ctx: np.ndarray, word: np.ndarray, flag: np.ndarray, voca
     )
 
 
-#: Longest prefix that has a node; longer words keep this much of their beginning and themselves.
+#: Prefixes up to this length have nodes of their own; longer ones are looked up behind their node.
 TRIE_DEPTH = 32
-
-
-def trie(stats: DataFrame) -> DataFrame:
-    """The nodes of the trie: for each (context, prefix) how often the word itself stops and goes
-    on, and how often a longer word stands there."""
-    depth = F.least(F.length("word"), F.lit(TRIE_DEPTH))
-    prefixes = F.array_union(F.transform(F.sequence(F.lit(1), depth), lambda n: F.substring("word", F.lit(1), n)), F.array("word"))
-    nodes = stats.where(F.length("word") > 0).select("k", "ctx", F.col("word"), "stops", "ends", "goes", F.explode(prefixes).alias("last"))
+COUNTS = ("stops", "ends", "goes")
+
+
+def trie(stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """The trie's nodes for each ``(k, ctx, last)`` of ``asked``: how often the word itself stops, ends
+    a text and goes on, and how often a longer word stands there that begins like it (``longer``)."""
+    words = stats.where(F.length("word") > 0)
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(TRIE_DEPTH))), lambda n: F.substring("word", F.lit(1), n))
+    short = words.select("k", "ctx", "word", *COUNTS, F.explode(prefixes).alias("last"))
+    wanted = checked_broadcast(asked.where(F.length("last") <= TRIE_DEPTH).select("k", "ctx", "last"), 200_000)
+    # Asked prefixes are picked before the shuffle, so words are not sent once for each of theirs.
+    nodes = short.join(wanted, ["k", "ctx", "last"])
+    # A prefix deeper than the nodes meets the words below its node that are as deep.
+    deep = asked.where(F.length("last") > TRIE_DEPTH).select("k", "ctx", "last", F.substring("last", 1, TRIE_DEPTH).alias("node"))
+    below = words.where(F.length("word") > TRIE_DEPTH).withColumn("node", F.substring("word", 1, TRIE_DEPTH))
+    nodes = nodes.unionByName(below.join(deep, ["k", "ctx", "node"]).where(F.startswith("word", "last")).select(nodes.columns))
     own = F.col("last") == F.col("word")
-    return nodes.groupBy("k", "ctx", "last").agg(*(F.sum(F.when(own, F.col(c)).otherwise(0)).alias(c) for c in ("stops", "ends", "goes")), F.sum(F.when(own, 0).otherwise(F.col("stops") + F.col("ends") + F.col("goes"))).alias("longer"))
+    return nodes.groupBy("k", "ctx", "last").agg(*(F.sum(F.when(own, F.col(c)).otherwise(0)).alias(c) for c in COUNTS), F.sum(F.when(own, 0).otherwise(F.col("stops") + F.col("ends") + F.col("goes"))).alias("longer"))
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """Per source the length in characters, and in bytes, at which its texts pile up; null where they don't. Copies within a source count once."""
+    """Per source the lengths in characters (``limit_chars``), and in bytes, at which its texts pile up,
+    as arrays: the longest of its texts and each that stands out among its neighbours. A pile holds
+    a share of the source, so a source has few. Copies within a source count once."""
     texts = ends.select("source", "chars", "bytes", "copy").distinct()
 
-    def pile(size: str) -> DataFrame:
-        per = texts.groupBy("source", size).agg(F.count(F.lit(1)).alias("n"))
-        return per.groupBy("source").agg(F.max(F.struct(F.col(size).alias("v"), "n")).alias("m"), F.sum("n").alias("all"))
-
-    def found(df: DataFrame, name: str) -> DataFrame:
-        return df.select("source", F.when((F.col("m.n") >= LIMIT_TEXTS) & (F.col("m.n") >= LIMIT_SHARE * F.col("all")), F.col("m.v")).alias(name))
+    def found(size: str) -> DataFrame:
+        per = texts.groupBy("source", F.col(size).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        # One row per source and length: no more than the longest text has characters.
+        whole, by = Window.partitionBy("source"), Window.partitionBy("source").orderBy("v").rangeBetween(-LIMIT_NEAR, LIMIT_NEAR)
+        seen = per.select("source", "v", "n", F.sum("n").over(whole).alias("all"), F.max("v").over(whole).alias("top"), F.sum("n").over(by).alias("near"))
+        pile = (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("all"))
+        out = (F.col("v") == F.col("top")) | (F.col("n") * 2 * LIMIT_NEAR >= LIMIT_PEAK * (F.col("near") - F.col("n")))
+        return seen.groupBy("source").agg(F.sort_array(F.collect_list(F.when(pile & out, F.col("v")))).alias(f"limit_{size}"))
 
-    return found(pile("chars"), "limit_chars").join(found(pile("bytes"), "limit_bytes"), "source")
+    return found("chars").join(found("bytes"), "source")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, mark, at_limit, share`` of the texts that were cut before their end.
+    """``doc_id, source, mark, at_limit, share, evidence`` of the texts that were cut before their end.
 
-    ``share``: how much of the corpus stops where the text does (null if no context tells).
+    ``evidence``: ``word`` (the last token is unknown and begins known words), ``context`` (the
+    corpus goes on after it), ``mark``, ``fence`` (an open code block) or ``lost`` (a broken
+    letter). ``share``: how much of the corpus stops where the text does (null if no context tells).
     Null and blank texts are whole. Copies do not vouch for each other, however many there are:
     all counts are over distinct texts. A context counts from four occurrences on, of which the
     text's own is left out.
@@ -255,32 +275,42 @@ def truncated(documents: DataFrame) -> DataFrame:
     found = cut(tails(documents))
     ends = found.where("k <= 0")
     open_tails = found.where("ending = 'open'")
-    nodes = trie(corpus_stats(documents, _filter(open_tails)))
-    asked = open_tails.groupBy("k", "ctx", "last").agg(F.count(F.lit(1)).alias("asked"))
+    asked = cut(open_tails.select("k", "ctx", "last").distinct())
+    nodes = trie(corpus_stats(documents, _filter(asked)), asked)
     # The text's own end is no evidence for itself.
     others = F.col("ends") - 1
-    n = F.col("stops") + others + F.col("goes") + F.col("longer")
-    usual = (others >= USUAL_TEXTS) & (others >= USUAL_RATIO * (F.col("goes") + F.col("longer")))
+    longer = F.col("longer")
+    n = F.col("stops") + others + F.col("goes") + longer
+    usual = (others >= USUAL_TEXTS) & (others >= USUAL_RATIO * (F.col("goes") + longer))
     share = F.when(usual, 1.0).otherwise((F.col("stops") + others) / n)
-    told = asked.join(nodes, ["k", "ctx", "last"]).where(n >= SUPPORT).select("k", "ctx", "last", share.alias("share"))
-    per_tail = open_tails.select("doc_id", "k", "ctx", "last").join(told, ["k", "ctx", "last"]).groupBy("doc_id").agg(F.max(F.struct("k", "share")).alias("s"))
+    # Known: the corpus has the token elsewhere, as a word of its own.
+    begun = (F.col("k") == 0) & (F.col("stops") + others + F.col("goes") == 0) & (longer > 0)
+    told = nodes.where(n >= SUPPORT).select("k", "ctx", "last", share.alias("share"), begun.alias("begun"))
+    tail, told = salted(open_tails.select("doc_id", "k", "ctx", "last"), told, ["k", "ctx", "last"], ["doc_id"])
+    per_tail = tail.join(told, ["k", "ctx", "last", "_salt"]).groupBy("doc_id").agg(F.max(F.struct("k", "share")).alias("s"), F.bool_or("begun").alias("begun"))
     rows = ends.select("doc_id", "source", "chars", "bytes", "mark", "ending").join(checked_broadcast(limits(ends)), "source").join(per_tail, "doc_id", "left")
-    return rows.withColumns({"share": F.col("s.share"), "depth": F.col("s.k"), "at_limit": _at_limit()}).where(_is_cut()).select("doc_id", "source", "mark", "at_limit", "share")
+    rows = rows.withColumns({"share": F.col("s.share"), "depth": F.col("s.k"), "at_limit": _at_limit(), "begun": F.coalesce("begun", F.lit(False))})
+    return rows.withColumn("evidence", _evidence()).where("evidence IS NOT NULL").select("doc_id", "source", "mark", "at_limit", "share", "evidence")
 
 
 def _at_limit() -> Column:
-    near = lambda size, limit: (F.col(size) >= F.col(limit) - SLACK) & (F.col(size) <= F.col(limit) + 3)
-    return F.coalesce(near("chars", "limit_chars"), F.lit(False)) | F.coalesce(near("bytes", "limit_bytes"), F.lit(False))
+    """At most ``SLACK`` below a limit of the source, or as much above it as a mark is long."""
+    near = lambda size: F.exists(f"limit_{size}", lambda v: (F.col(size) >= v - SLACK) & (F.col(size) <= v + 3))
+    return near("chars") | near("bytes")
 
 
-def _is_cut() -> Column:
+def _evidence() -> Column:
+    """What tells that a text was cut, null if nothing does."""
     marked = F.col("mark") != ""
     share = F.coalesce("share", F.lit(0.0))
-    exact = (F.col("chars") == F.col("limit_chars")) | (F.col("bytes") == F.col("limit_bytes"))
+    exact = F.array_contains("limit_chars", F.col("chars")) | F.array_contains("limit_bytes", F.col("bytes"))
     bracket = F.col("mark").rlike(r"^[\[(<]")
-    by_share = F.when(F.col("at_limit"), share < SHARE_AT_LIMIT).when(marked, (share < SHARE_MARKED) & (F.coalesce("depth", F.lit(0)) >= 2)).otherwise(share < SHARE)
-    by_mark = bracket | marked & F.coalesce(exact, F.lit(False)) & (F.col("ending") == "stop")
-    return F.col("ending").isin("fence", "lost") | by_mark | (F.col("ending") == "open") & by_share
+    is_open = F.col("ending") == "open"
+    # Unknown, and the beginning of known words; after mere dots it may be a name left as it is.
+    word = is_open & F.col("begun") & (~marked | F.col("at_limit"))
+    context = F.when(F.col("at_limit"), share < SHARE_AT_LIMIT).when(marked, (share < SHARE_MARKED) & (F.coalesce("depth", F.lit(0)) >= 2)).otherwise(share < SHARE)
+    by_mark = bracket | marked & exact & (F.col("ending") == "stop")
+    return F.when(F.col("ending").isin("fence", "lost"), F.col("ending")).when(word, "word").when(is_open & context, "context").when(by_mark, "mark")
 
 
 def source_shares(documents: DataFrame, found: DataFrame) -> DataFrame:
@@ -289,3 +319,8 @@ def source_shares(documents: DataFrame, found: DataFrame) -> DataFrame:
     cut_ = found.groupBy("source").agg(F.countDistinct("doc_id").alias("cut_texts"))
     n = F.coalesce("cut_texts", F.lit(0))
     return every.join(cut_, "source", "left").select("source", "texts", n.alias("cut_texts"), (F.floor(n / F.col("texts") * 10000 + 0.5) / 10000).alias("cut_share"))
+
+
+def evidence_counts(found: DataFrame) -> DataFrame:
+    """Cut texts per source by what tells that they were cut, and how many of them lie at a limit."""
+    return found.groupBy("source", "evidence").agg(F.countDistinct("doc_id").alias("cut_texts"), F.count_if("at_limit").alias("at_limit"))
