@@ -256,9 +256,12 @@ def limits(ends: DataFrame) -> DataFrame:
         seen = per.select("source", "v", "n", F.sum("n").over(whole).alias("all"), F.max("v").over(whole).alias("top"), F.sum("n").over(by).alias("near"))
         pile = (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("all"))
         out = (F.col("v") == F.col("top")) | (F.col("n") * 2 * LIMIT_NEAR >= LIMIT_PEAK * (F.col("near") - F.col("n")))
-        return seen.groupBy("source").agg(F.sort_array(F.collect_list(F.when(pile & out, F.col("v")))).alias(f"limit_{size}"))
+        return seen.groupBy("source").agg(F.sort_array(F.collect_list(F.when(pile & out, F.struct("v", "n")))).alias(size))
 
-    return found("chars").join(found("bytes"), "source")
+    # A limit in characters shows in bytes as well, and the other way round, for texts of plain letters.
+    more = lambda size, than: F.transform(F.filter(size, lambda a: ~F.exists(than[0], lambda b: (b.v == a.v) & than[1](b.n, a.n))), lambda a: a.v)
+    chars, size = more("chars", ("bytes", lambda b, a: b > a)), more("bytes", ("chars", lambda b, a: b >= a))
+    return found("chars").join(found("bytes"), "source").select("source", chars.alias("limit_chars"), size.alias("limit_bytes"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
