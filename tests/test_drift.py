@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline import plans
@@ -143,3 +144,58 @@ def test_one_table_unites_renamed_columns(spark):
     t = drift.consistent_table(drift.profiles(spark.createDataFrame(rows, FILES)), "blocks")
     assert t.columns == ["file_id", "repo", "generated_at", "Line", "id", "line_"]
     assert sorted((r["file_id"], r["line_"], r["Line"]) for r in t.collect()) == [(i, 3.0, "x") for i in range(1, 5)]
+
+
+def test_the_scores_select_the_renames(monkeypatch):
+    """Without the flood's scores, or with others, renames are lost; with them few pairs are compared by value."""
+    rnd = random.Random(3)
+    names = [f"{a}_{b}" for a in ("tier", "lines", "system", "layer", "title", "state") for b in ("no", "id", "kind", "text")]
+    cases = []
+    for _ in range(60):
+        kept, gone, come = (lambda x: (x[:6], x[6:10], x[10:14]))(rnd.sample(names, 14))
+        values = {n: [rnd.choice([str(rnd.randrange(1000)), f"{n}-{i}"]) for i in range(8)] for n in names}
+        old = [{"id": str(i)} | {k: values[k][i] for k in (*kept, *gone)} for i in range(8)]
+        renamed = dict(zip(gone[:2], come[:2]))
+        new = [{"id": str(i)} | {k: values[k][i] for k in (*kept, *come[2:])} | {n: values[g][i] for g, n in renamed.items()} for i in range(8)]
+        cases.append((old, new, renamed))
+    found = lambda: [{c[0]: c[2] for c in drift.compare(o, n) if c[1] == "renamed"} for o, n, _ in cases]
+    assert found() == [r for _, _, r in cases]
+    tried = 0
+    for o, n, _ in cases:
+        a, b = drift.schema_of(o), drift.schema_of(n)
+        gone, come = ([f for i, f in x.items() if i not in y] for x, y in ((a, b), (b, a)))
+        tried += len(list(drift.correspondences(a, b, gone, come, list(zip(o, n)))))
+    assert tried < 16 * len(cases) / 2
+    flood = drift.flood
+    monkeypatch.setattr(drift, "flood", lambda graph, agree: np.random.default_rng(1).permutation(flood(graph, agree)) ** 4)
+    assert sum(map(len, found())) < sum(len(r) for _, _, r in cases) * 0.8
+    monkeypatch.setattr(drift, "flood", lambda graph, agree: np.zeros(len(graph.nodes)))
+    assert found() == [{}] * len(cases)
+
+
+def test_selection():
+    a, b, c, d = (drift.Field(bytes([i]), b"", 0, "f") for i in range(4))
+    assert drift.select([(a, c), (a, d), (b, c), (b, d)], np.array([1.0, 0.2, 0.5, 0.9])) == [0, 2, 3]
+    assert drift.select([], np.zeros(0)) == [] and drift.select([(a, c)], np.zeros(1)) == []
+
+
+def test_paths_and_signatures():
+    s = drift.schema_of([{"a": {"b": 1}, "c": [{"d": [[{"e": None}]]}]}, None, {"a": None, "f": []}])
+    assert sorted(drift.path_of(s, i) for i in s) == ["a", "a.b", "c", "c[].d", "c[].d[][].e", "f"]
+    same, other = drift.schema_of([{"f": [], "a": {"b": 2}}, {"c": [{"d": [[{"e": None}]]}]}]), drift.schema_of([{"f": "x", "a": {"b": 2}, "c": [{"d": [[{"e": None}]]}]}])
+    assert drift.signature(s) == drift.signature(same) != drift.signature(other)
+
+
+def test_very_deep_bodies_and_large_numbers(spark):
+    deep = '{"a": [' * 10_000 + "1" + "]}" * 10_000
+    body = lambda key: f'{{"blocks": [{{"id": "1", "{key}": {deep}, "n": 9007199254740993}}]}}'
+    rows = [(i, "r", None, None, None, None, body(k), None) for i, k in enumerate(("deep", "deep", "deeper"))]
+    files = spark.createDataFrame(rows, FILES)
+    assert [tuple(r)[:5] for r in drift.changes(files).collect()] == [(2, "blocks", "deep", "renamed", "deeper")]
+    got = drift.consistent_table(drift.profiles(files), "blocks").collect()
+    assert {r["n"] for r in got} == {9007199254740993} and {len(r["deep"]) for r in got} == {len(deep)}
+
+
+def test_fields_that_meet_under_one_name():
+    assert drift._renamed({"a": 1, "b": 2, "c": {"a": 3}}, {"b": "a", "c.a": "z"}) == {"a": 1, "b": 2, "c": {"z": 3}}
+    assert drift._components([("a", "b"), ("b", "c"), ("x", "y")]) == {"a": 0, "b": 0, "c": 0, "x": 1, "y": 1}

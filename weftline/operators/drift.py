@@ -1,19 +1,21 @@
 """Schemas that drift between files (problem 1), by similarity flooding.
 
 Each collection of a file becomes a schema graph: fields, hung by object or list links under
-their parent, with links to the types found. Of two consecutive schemas that differ the
-graphs are flooded: pairs of fields start with the similarity of their names, and pass scores
-along equal links until they settle. Pairs that end with a score are the candidates for a
-correspondence; equal paths stand by themselves, of the others those count whose values agree
-in every record both files hold. Correspondences over all files, taken together without
-contradiction, name the columns of one table into which all records are cast and united.
+their parent, with links to the types found and to the values the records hold. Of two
+consecutive schemas that differ the graphs are flooded: pairs of fields start with the similarity
+of their names and the share of common records in which their values agree, and pass scores along
+equal links until they settle. Equal paths stand by themselves. Of the others those pairs are
+selected that are nearly the best both for the old and the new field; only they can be renames,
+and an exact comparison of the values confirms them. Correspondences over all files, taken
+together without contradiction, name the columns of one table into which all records are cast and
+united.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -21,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import cut, small_or_none
+from weftline.functions.deep import canonical, dumps, loads
+from weftline.functions.scale import checked_broadcast, cut, small_or_none
 
 TYPES = ("string", "number", "boolean", "object", "array")
 #: Flooding ends when no score moves by more, or after so many rounds.
 SETTLED, MOST_ROUNDS = 1e-4, 200
-#: Frames allowed for very deep values.
-DEEPEST = 50_000
+#: A pair is selected if its score is this share of the best of its old field and of its new field.
+SELECTED = 0.4
 COLLECTIONS = ("blocks", "brds")
 PROFILE = "file_id long, repo string, generated_at timestamp_ntz, schema_version string, collection string, sig string, records string"
 CHANGES = "file_id long, collection string, field string, change string, new_field string, score double"
@@ -43,92 +46,62 @@ def kind_of(v) -> str | None:
     return {str: "string", dict: "object", list: "array"}[type(v)]
 
 
-def schema_of(records: list) -> dict[str, tuple[str, bool, str, set]]:
-    """The fields of a list of records: path -> (parent path, in a list, last key, types)."""
-    fields: dict[str, tuple[str, bool, str, set]] = {}
-
-    def obj(o: dict, at: str, parent: str, listed: bool) -> None:
-        for k, v in o.items():
-            path = f"{at}{k}"
-            kinds = fields.setdefault(path, (parent, listed, k, set()))[3]
-            if (t := kind_of(v)) is not None:
-                kinds.add(t)
-            if t == "object":
-                obj(v, f"{path}.", path, False)
-            elif t == "array":
-                arr(v, f"{path}[]", path)
-
-    def arr(items: list, at: str, parent: str) -> None:
-        for x in items:
-            if isinstance(x, dict):
-                obj(x, f"{at}.", parent, True)
-            elif isinstance(x, list):
-                arr(x, f"{at}[]", parent)
-
-    for r in records:
-        if isinstance(r, dict):
-            obj(r, "", "", False)
-    return fields
+class Field:
+    """A field of a schema: its parent (b"" for the records themselves), how many lists lie between
+    both, its name, the types found, and a digest of all names and lists down to it (its path)."""
 
+    __slots__ = ("id", "parent", "lists", "name", "types", "kids")
 
-def _grams(name: str) -> set[str]:
-    s = f"^{name.replace('_', '').lower()}$"
-    return {s[i : i + 2] for i in range(len(s) - 1)}
+    def __init__(self, id: bytes, parent: bytes, lists: int, name: str):
+        self.id, self.parent, self.lists, self.name, self.types, self.kids = id, parent, lists, name, set(), []
 
 
-def flood(old: dict, new: dict) -> tuple[list[str], list[str], np.ndarray]:
-    """Settled scores of all pairs of fields; zero where the links to them differ in kind or parents' pairs never meet."""
-    a, b = ["", *old], ["", *new]
-    ia, ib = {p: i for i, p in enumerate(a)}, {p: i for i, p in enumerate(b)}
-    pa_, pb = np.array([0, *(ia[old[p][0]] for p in old)]), np.array([0, *(ib[new[p][0]] for p in new)])
-    la, lb = np.array([-1, *(int(old[p][1]) for p in old)]), np.array([-1, *(int(new[p][1]) for p in new)])
-    ta = np.array([[0] * len(TYPES), *([int(t in old[p][3]) for t in TYPES] for p in old)], dtype=float)
-    tb = np.array([[0] * len(TYPES), *([int(t in new[p][3]) for t in TYPES] for p in new)], dtype=float)
-    ga, gb = [_grams(old[p][2]) for p in old], [_grams(new[p][2]) for p in new]
-    start = np.zeros((len(a), len(b)))
-    start[0, 0] = 1
-    for i, x in enumerate(ga, 1):
-        for j, y in enumerate(gb, 1):
-            start[i, j] = 2 * len(x & y) / (len(x) + len(y))
-    links = la[:, None] == lb[None, :]
-    links[0, 0] = True
-    # A pair hands its score on in equal shares over its pairs of children of one kind of link, and of fields of one type.
-    kids_a, kids_b = np.zeros((len(a), 2)), np.zeros((len(b), 2))
-    np.add.at(kids_a, (pa_[1:], la[1:]), 1)
-    np.add.at(kids_b, (pb[1:], lb[1:]), 1)
-    down = np.zeros_like(start)
-    if len(a) > 1 and len(b) > 1:
-        down[1:, 1:] = 1 / np.maximum(kids_a[pa_[1:], la[1:]][:, None] * kids_b[pb[1:], lb[1:]][None, :], 1)
-    share = 1 / np.maximum(ta.sum(0) * tb.sum(0), 1)
-    start = start * links
-    s, of_type = start.copy(), np.ones(len(TYPES))
-    for _ in range(MOST_ROUNDS):
-        child = s[pa_][:, pb] * down * links
-        up = np.zeros_like(s)
-        inner = (s * links)[1:, 1:]
-        np.add.at(up, (pa_[1:, None].repeat(len(b) - 1, 1), pb[None, 1:].repeat(len(a) - 1, 0)), inner)
-        typed = (ta * (of_type * share)) @ tb.T
-        t_new = np.array([ta[:, t] @ s @ tb[:, t] for t in range(len(TYPES))]) + 1
-        new_s = (start + s + child + up + typed * links) * links
-        new_s /= new_s.max() or 1
-        moved = np.abs(new_s - s).max()
-        s, of_type = new_s, t_new / t_new.max()
-        if moved < SETTLED:
-            break
-    return a, b, s
+Schema = dict[bytes, Field]
+
+
+def schema_of(records: list) -> Schema:
+    """The fields of a list of records by path digest, each behind its parent."""
+    fields: Schema = {b"": Field(b"", b"", 0, "")}
+    known: dict[tuple[bytes, int, str], Field] = {}
+    todo = [(r, b"", 0) for r in reversed(records) if isinstance(r, dict)]
+    while todo:
+        x, parent, lists = todo.pop()
+        if isinstance(x, list):
+            todo += [(y, parent, lists if isinstance(y, dict) else lists + 1) for y in reversed(x) if isinstance(y, (dict, list))]
+            continue
+        for k, v in x.items():
+            f = known.get((parent, lists, k))
+            if f is None:
+                digest = hashlib.blake2b(b"%s%d." % (parent, lists) + k.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                f = known[parent, lists, k] = fields[digest] = Field(digest, parent, lists, k)
+                fields[parent].kids.append(f)
+            t = kind_of(v)
+            if t is not None:
+                f.types.add(t)
+                if t == "object":
+                    todo.append((v, f.id, 0))
+                elif t == "array":
+                    todo.append((v, f.id, 1))
+    del fields[b""]
+    return fields
 
 
-def canonical(v) -> str:
-    """Equal JSON values have equal text: keys sorted, whole numbers without fraction."""
+def path_of(fields: Schema, id: bytes) -> str:
+    """A field's path: `a.b` within objects, `a[].b` within lists of objects."""
+    parts: list[str] = []
+    while id:
+        f = fields[id]
+        parts.append(("[]" * f.lists + "." if f.parent else "") + f.name)
+        id = f.parent
+    return "".join(reversed(parts))
 
-    def plain(x):
-        if isinstance(x, float) and x.is_integer():
-            return int(x)
-        if isinstance(x, dict):
-            return {k: plain(y) for k, y in x.items()}
-        return [plain(y) for y in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(v), sort_keys=True, ensure_ascii=False)
+def signature(fields: Schema) -> str:
+    """Equal for equal sets of paths and types."""
+    h = hashlib.md5()
+    for f in sorted(fields.values(), key=lambda f: f.id):
+        h.update(f.id + ",".join(sorted(f.types)).encode() + b";")
+    return h.hexdigest()
 
 
 def _value(record: dict, keys: list[str]):
@@ -140,79 +113,191 @@ def _value(record: dict, keys: list[str]):
     return True, record
 
 
-def _keys(fields: dict, path: str) -> list[str]:
+def _keys(fields: Schema, id: bytes) -> list[str]:
     keys: list[str] = []
-    while path:
-        parent, _, key, _ = fields[path]
-        keys.append(key)
-        path = parent
+    while id:
+        keys.append(fields[id].name)
+        id = fields[id].parent
     return keys[::-1]
 
 
-def _outside(fields: dict, path: str) -> bool:
-    while path:
-        if fields[path][1]:
+def _outside(fields: Schema, id: bytes) -> bool:
+    """Whether a field lies outside lists."""
+    while id:
+        if fields[id].lists:
             return False
-        path = fields[path][0]
+        id = fields[id].parent
     return True
 
 
+def _grams(name: str) -> set[str]:
+    s = f"^{name.replace('_', '').lower()}$"
+    return {s[i : i + 2] for i in range(len(s) - 1)}
+
+
+def likeness(a: str, b: str) -> float:
+    """Similarity of two names, from 0 to 1, by pairs of letters."""
+    x, y = _grams(a), _grams(b)
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+@dataclass
+class Pairs:
+    """The pairwise connectivity graph of two schemas. Each pair of fields hangs below the pair of
+    their parents. Fields of one path make one pair; a removed and an added field of one parent
+    make one, and so do those of one name below such a pair."""
+
+    nodes: list[tuple[Field, Field]]
+    up: list[int]
+    candidates: list[int]
+
+
+def pair_graph(old: Schema, new: Schema, gone: list[Field], come: list[Field]) -> Pairs:
+    root = Field(b"", b"", 0, "")
+    nodes, up, at = [(root, root)], [0], {b"": 0}
+    for id, f in old.items():
+        if id in new:
+            at[id] = len(nodes)
+            nodes.append((f, new[id]))
+            up.append(at[f.parent])
+    by_parent: dict[bytes, list[Field]] = {}
+    for n in come:
+        by_parent.setdefault(n.parent, []).append(n)
+    first = len(nodes)
+    for r in gone:
+        for n in by_parent.get(r.parent, ()):
+            nodes.append((r, n))
+            up.append(at[r.parent])
+    out = Pairs(nodes, up, list(range(first, len(nodes))))
+    todo = list(out.candidates)
+    while todo:
+        k = todo.pop()
+        r, n = nodes[k]
+        named = {(f.lists, f.name): f for f in n.kids}
+        for f in r.kids:
+            if (g := named.get((f.lists, f.name))) is not None:
+                todo.append(len(nodes))
+                nodes.append((f, g))
+                up.append(k)
+    return out
+
+
+def agreement(old: Schema, new: Schema, pairs: list[tuple[Field, Field]], both: list[tuple[dict, dict]]) -> np.ndarray:
+    """For each pair of fields outside lists: of the common records that hold either, the share in
+    which both have the same value (told by a 64-bit hash)."""
+
+    def values(fields: Schema, f: Field, side: int) -> np.ndarray:
+        keys, out = _keys(fields, f.id), np.zeros(len(both), dtype=np.int64)
+        for r, pair in enumerate(both):
+            held, v = _value(pair[side], keys)
+            out[r] = hash(canonical(v)) | 1 if held else 0
+        return out
+
+    x = {a.id: values(old, a, 0) for a, _ in pairs}
+    y = {b.id: values(new, b, 1) for _, b in pairs}
+    return np.array([((x[a.id] == y[b.id]) & (x[a.id] != 0)).sum() / max(1, ((x[a.id] != 0) | (y[b.id] != 0)).sum()) for a, b in pairs])
+
+
+def flood(graph: Pairs, agree: np.ndarray) -> np.ndarray:
+    """Settled scores of the pairs. They start with the likeness of their names and, for candidates,
+    with how far their values agree (``agree``); each round a pair gets what it started with, what it
+    has, its share of what its parents' pair has, what its children's pairs have, and its share of
+    what the pairs of one type have in common."""
+    n = len(graph.nodes)
+    start = np.array([1.0, *(1.0 if a.name == b.name else likeness(a.name, b.name) for a, b in graph.nodes[1:])])
+    start[graph.candidates] += agree
+    up, listed = np.array(graph.up), np.array([min(a.lists, 1) for a, _ in graph.nodes])
+    link = up * 2 + listed
+    down = 1 / np.bincount(link[1:], minlength=2 * n)[link] if n > 1 else np.ones(1)
+    typed = np.array([[t in a.types and t in b.types for t in TYPES] for a, b in graph.nodes], dtype=float)
+    share = 1 / np.maximum(typed.sum(0), 1)
+    s, of_type = start / start.max(), np.ones(len(TYPES))
+    down[0] = 0
+    for _ in range(MOST_ROUNDS):
+        below = np.bincount(up[1:], weights=s[1:], minlength=n)
+        moved = start + s + s[up] * down + below + typed @ (of_type * share)
+        moved /= moved.max()
+        of_type = of_type + typed.T @ s
+        of_type /= of_type.max()
+        gap = np.abs(moved - s).max()
+        s = moved
+        if gap < SETTLED:
+            break
+    return s
+
+
+def select(pairs: list[tuple[Field, Field]], score: np.ndarray, share: float = SELECTED) -> list[int]:
+    """The pairs whose score is at least ``share`` of the best of their old and of their new field. A
+    pair of equal values starts with 1 of at most 2, so it cannot fall behind a rival by much."""
+    best: dict[tuple[int, bytes], float] = {}
+    for (a, b), s in zip(pairs, score):
+        for key in ((0, a.id), (1, b.id)):
+            best[key] = max(best.get(key, 0.0), s)
+    return [k for k, ((a, b), s) in enumerate(zip(pairs, score)) if s > 0 and s >= share * max(best[0, a.id], best[1, b.id])]
+
+
+def correspondences(old: Schema, new: Schema, gone: list[Field], come: list[Field], both: list[tuple[dict, dict]]) -> Iterator[tuple[Field, Field, float]]:
+    """The pairs of a removed and an added field that the settled scores select, in the order given."""
+    graph = pair_graph(old, new, gone, come)
+    pairs = [graph.nodes[k] for k in graph.candidates]
+    if pairs:
+        score = flood(graph, agreement(old, new, pairs, both))[graph.candidates]
+        for k in select(pairs, score):
+            yield *pairs[k], float(score[k])
+
+
 def compare(before: list, after: list) -> list[tuple[str, str, str, float]]:
     """Changes ``(field, change, new_field, score)`` from one list of records to the next."""
     old, new = schema_of(before), schema_of(after)
-    removed, added = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
+    # Below a removed or an added field nothing is reported, so those whose parents both have are enough.
+    removed = [f for id, f in old.items() if id not in new and (not f.parent or f.parent in new)]
+    added = [f for id, f in new.items() if id not in old and (not f.parent or f.parent in old)]
+    removed, added = sorted(removed, key=lambda f: path_of(old, f.id)), sorted(added, key=lambda f: path_of(new, f.id))
     by_id = lambda rows: {canonical(r["id"]): r for r in rows if isinstance(r, dict) and r.get("id") is not None}
-    cases: dict[str, tuple[str, str, float]] = {p: ("retyped", "", 0.0) for p in old.keys() & new.keys() if old[p][3] and new[p][3] and old[p][3] != new[p][3]}
-    taken: dict[str, str] = {}
-    if removed and added:
+    cases: dict[bytes, tuple[str, bytes, float]] = {id: ("retyped", b"", 0.0) for id in old.keys() & new.keys() if old[id].types and new[id].types and old[id].types != new[id].types}
+    taken: set[bytes] = set()
+    gone, come = [f for f in removed if _outside(old, f.id)], [f for f in added if _outside(new, f.id)]
+    if gone and come:
         x, y = by_id(before), by_id(after)
         both = [(x[i], y[i]) for i in x.keys() & y.keys()]
-        names_a, names_b, score = flood(old, new)
-        row, col = {p: i for i, p in enumerate(names_a)}, {p: i for i, p in enumerate(names_b)}
-        for r in removed:
-            if not _outside(old, r):
+        for r, n, s in correspondences(old, new, gone, come, both) if both else ():
+            # Of the same types; then the values themselves.
+            if r.id in cases or n.id in taken or r.types != n.types:
                 continue
-            for n in added:
-                # Candidates are the pairs the flood has reached; the values decide.
-                if n in taken or score[row[r], col[n]] <= 0 or old[r][0] != new[n][0] or not _outside(new, n) or old[r][3] != new[n][3]:
-                    continue
-                kr, kn, carried = _keys(old, r), _keys(new, n), 0
-                for o, w in both:
-                    (in_o, vo), (in_w, vw) = _value(o, kr), _value(w, kn)
-                    if in_o != in_w or in_o and canonical(vo) != canonical(vw):
-                        carried = 0
-                        break
-                    carried += in_o
-                if carried:
-                    taken[n] = r
-                    cases[r] = ("renamed", n, float(score[row[r], col[n]]))
+            kr, kn, carried = _keys(old, r.id), _keys(new, n.id), 0
+            for o, w in both:
+                (in_o, vo), (in_w, vw) = _value(o, kr), _value(w, kn)
+                if in_o != in_w or in_o and canonical(vo) != canonical(vw):
+                    carried = 0
                     break
-    for r in removed:
-        cases.setdefault(r, ("removed", "", 0.0))
-    for n in added:
-        if n not in taken:
-            cases[n] = ("added", "", 0.0)
-    roots = set(cases) | set(taken)
-
-    def below(path: str, fields: dict) -> bool:
-        while path := fields[path][0]:
-            if path in roots:
-                return True
-        return False
-
-    return [(p, c, n, s) for p, (c, n, s) in sorted(cases.items()) if not below(p, old if p in old else new)]
-
-
-def _reject(token: str):
-    raise ValueError(token)
+                carried += in_o
+            if carried:
+                taken.add(n.id)
+                cases[r.id] = ("renamed", n.id, s)
+    for f in removed:
+        cases.setdefault(f.id, ("removed", b"", 0.0))
+    for f in added:
+        if f.id not in taken:
+            cases[f.id] = ("added", b"", 0.0)
+    roots = set(cases) | taken
+    # Parents stand before their children, so one look at the parent tells for the whole line.
+    hidden: set[bytes] = set()
+    for fields in (old, new):
+        for id, f in fields.items():
+            if f.parent in roots or f.parent in hidden:
+                hidden.add(id)
+    out = []
+    for id, (change, to, s) in cases.items():
+        if id not in hidden:
+            out.append((path_of(old if id in old else new, id), change, path_of(new, to), s))
+    return sorted(out)
 
 
 def _pieces(part, fields: list[str]):
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
     for row in part.to_pylist():
         try:
-            body = json.loads(row["body"], parse_constant=_reject)
-        except (ValueError, TypeError, RecursionError):
+            body = loads(row["body"]) if row["body"] is not None else None
+        except ValueError:
             continue
         if not isinstance(body, dict):
             continue
@@ -220,8 +305,12 @@ def _pieces(part, fields: list[str]):
             records = body.get(c)
             records = [records] if isinstance(records, dict) and records else records
             if isinstance(records, list) and records:
-                sig = json.dumps(sorted((p, sorted(f[3])) for p, f in schema_of(records).items()))
-                yield *(row[k] for k in fields), c, hashlib.md5(sig.encode()).hexdigest(), json.dumps(records, ensure_ascii=False)
+                yield *(row[k] for k in fields), c, signature(schema_of(records)), _plain_text(dumps(records))
+
+
+def _plain_text(text: str) -> str:
+    """Halves of surrogate pairs, which JSON may escape but no column holds, escaped again."""
+    return text if text.isascii() else "".join(c if not "\ud800" <= c <= "\udfff" else f"\\u{ord(c):04x}" for c in text)
 
 
 def profiles(files: DataFrame) -> DataFrame:
@@ -265,16 +354,15 @@ def field_changes(found: DataFrame) -> DataFrame:
     """
     slim = found.groupBy("file_id", "collection").agg(F.max(F.struct("repo", "generated_at", "sig")).alias("m")).select("file_id", "collection", "m.*")
     pairs = consecutive(slim).where("old_id IS NOT NULL AND sig <> old_sig")
-    held = found.select("file_id", "collection", "sig", "records").dropDuplicates(["file_id", "collection", "sig"])
+    held = found.groupBy("file_id", "collection", "sig").agg(F.min("records").alias("records"))
     full = pairs.join(held.withColumnRenamed("records", "after"), ["file_id", "collection", "sig"]).join(held.select(F.col("file_id").alias("old_id"), "collection", F.col("sig").alias("old_sig"), F.col("records").alias("before")), ["old_id", "collection", "old_sig"])
 
     def run(batches):
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for b in batches:
             for at in range(0, b.num_rows, 32):
                 part, rows = b.slice(at, 32), []
                 for r in part.to_pylist():
-                    rows += [(r["file_id"], r["collection"], *c) for c in compare(json.loads(r["before"]), json.loads(r["after"]))]
+                    rows += [(r["file_id"], r["collection"], *(_plain_text(x) if isinstance(x, str) else x for x in c)) for c in compare(loads(r["before"]), loads(r["after"]))]
                 if rows:
                     cols = list(zip(*rows))
                     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64()]
@@ -309,8 +397,8 @@ def column_names(found: DataFrame, collection: str) -> tuple[dict[str, str], dic
         for b in batches:
             rows = []
             for (sig, text, n) in zip(*(b.column(i).to_pylist() for i in range(3))):
-                f = schema_of(json.loads(text))
-                rows += [(sig, p, sorted(x[3]), n) for p, x in f.items() if _outside(f, p)]
+                f = schema_of(loads(text))
+                rows += [(sig, _plain_text(path_of(f, p)), sorted(x.types), n) for p, x in f.items() if _outside(f, p)]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.int64())], names=["sig", "path", "types", "n"])
@@ -321,9 +409,16 @@ def column_names(found: DataFrame, collection: str) -> tuple[dict[str, str], dic
     if renames is None or names is None:
         raise ValueError(f"more than {MOST_NAMES} field names in {collection}")
     used = {r["path"]: r["n"] for r in names}
-    involved = {x for r in renames for x in (r["field"], r["new_field"])}
-    near = per_sig.where(F.col("path").isin(sorted(involved)))
-    beside = {(r["a"], r["b"]) for r in near.alias("x").join(near.alias("y"), "sig").where("x.path < y.path").select(F.col("x.path").alias("a"), F.col("y.path").alias("b")).distinct().collect()}
+    # Names can come together only within a component of the renames; within one, those of each file are compared.
+    component = _components([(r["field"], r["new_field"]) for r in renames])
+    beside: set[tuple[str, str]] = set()
+    if component:
+        near = per_sig.join(checked_broadcast(found.sparkSession.createDataFrame(sorted(component.items()), "path string, c int"), 2 * MOST_NAMES), "path").select("sig", "path", "c")
+        pairs = near.join(near.withColumnRenamed("path", "other"), ["sig", "c"]).where("path < other").select("path", "other").distinct()
+        both = small_or_none(pairs, MOST_NAMES)
+        if both is None:
+            raise ValueError(f"more than {MOST_NAMES} contradictions among the renames of {collection}")
+        beside = {(r["path"], r["other"]) for r in both}
     group = {p: {p} for p in used}
     for r in sorted(renames, key=lambda r: (-r["n"], -r["s"], r["field"], r["new_field"])):
         g, h = group.setdefault(r["field"], {r["field"]}), group.setdefault(r["new_field"], {r["new_field"]})
@@ -339,13 +434,37 @@ def column_names(found: DataFrame, collection: str) -> tuple[dict[str, str], dic
     return {p: b.rpartition(".")[2] for p, b in best.items() if p != b}, kinds
 
 
-def _renamed(record: dict, names: dict[str, str], at: str = "") -> dict:
-    out = {}
-    for k, v in record.items():
-        path = f"{at}{k}"
-        v = _renamed(v, names, f"{path}.") if isinstance(v, dict) else v
-        out.setdefault(names.get(path, k), v)
-    return out
+def _components(links: list[tuple[str, str]]) -> dict[str, int]:
+    """The connected component of each name."""
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[top(a)] = top(b)
+    number: dict[str, int] = {}
+    return {x: number.setdefault(top(x), len(number)) for x in list(up)}
+
+
+def _renamed(record: dict, names: dict[str, str]) -> dict:
+    """A record under canonical names; where two fields meet under one name, the later keeps its own."""
+    top: dict = {}
+    todo = [(record, "", top)]
+    while todo:
+        x, at, out = todo.pop()
+        for k, v in x.items():
+            name = names.get(f"{at}{k}", k)
+            while name in out:
+                name = k if name != k and k not in out else f"{name}_"
+            out[name] = v
+            if isinstance(v, dict):
+                out[name] = {}
+                todo.append((v, f"{at}{k}.", out[name]))
+    return top
 
 
 def _column(name: str, taken: set[str]) -> str:
@@ -360,8 +479,9 @@ def consistent_table(found: DataFrame, collection: str) -> DataFrame:
     """All records of a collection over all files under canonical names and widest types.
 
     Columns ``file_id, repo, generated_at`` then one per canonical field, in alphabetical
-    order: double where all values are numbers, boolean where all are booleans, else
-    string (objects and lists as JSON text). Names that clash, also by case, get an underscore.
+    order: long where all values are whole numbers that fit, double where all are numbers, boolean
+    where all are booleans, else string (objects and lists as JSON text). Names that clash, also by
+    case, get an underscore. Of several bodies of one file the least by its text counts.
     """
     names, kinds = column_names(found, collection)
     taken = {"file_id", "repo", "generated_at"}
@@ -373,7 +493,7 @@ def consistent_table(found: DataFrame, collection: str) -> DataFrame:
             for at in range(0, b.num_rows, 32):
                 out = []
                 for r in b.slice(at, 32).to_pylist():
-                    for rec in json.loads(r["records"]):
+                    for rec in loads(r["records"]):
                         if isinstance(rec, dict):
                             flat = _renamed(rec, names)
                             cells = [flat.get(k) for k in keys]
@@ -383,13 +503,16 @@ def consistent_table(found: DataFrame, collection: str) -> DataFrame:
                     types = [pa.int64(), pa.string(), pa.timestamp("us"), *[pa.string()] * len(keys)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "repo", "generated_at", *(f"c{i}" for i in range(len(keys)))])
 
-    held = found.where(F.col("collection") == collection).select("file_id", "repo", "generated_at", "records").dropDuplicates(["file_id"])
+    one = found.where(F.col("collection") == collection)
+    held = one.groupBy("file_id").agg(F.min(F.struct("records", "repo", "generated_at")).alias("m")).select("file_id", "m.repo", "m.generated_at", "m.records")
     schema = ", ".join(["file_id long, repo string, generated_at timestamp_ntz", *(f"c{i} string" for i in range(len(keys)))])
-    wide = held.mapInArrow(rows, schema)
+    wide = cut(held.mapInArrow(rows, schema))
+    numbers = [i for i, k in enumerate(keys) if kinds[k] == {"number"}]
+    whole = wide.agg(*(F.bool_and(F.expr(f"c{i} IS NULL OR try_cast(c{i} AS bigint) IS NOT NULL AND c{i} NOT RLIKE '[.eE]'")).alias(f"c{i}") for i in numbers)).first() if numbers else {}
 
     def cast(i: int, key: str, name: str):
-        if kinds[key] == {"number"}:
-            return F.expr(f"try_cast(c{i} AS double)").alias(name)
+        if i in numbers:
+            return F.expr(f"try_cast(c{i} AS {'bigint' if whole[f'c{i}'] else 'double'})").alias(name)
         return F.expr(f"try_cast(c{i} AS boolean)").alias(name) if kinds[key] == {"boolean"} else F.col(f"c{i}").alias(name)
 
     return wide.select("file_id", "repo", "generated_at", *(cast(i, k, n) for i, (k, n) in enumerate(columns)))
