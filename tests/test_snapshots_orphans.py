@@ -46,22 +46,34 @@ def test_runs_are_compressed(spark):
     assert got == [("x", "2025-01-01 00:00:00", "2025-01-09 00:00:00"), ("x", "2025-02-01 00:00:00", "9999-12-31 00:00:00"), ("y", "None", "9999-12-31 00:00:00")]
 
 
+def test_keys_are_split(spark):
+    keys = ["f:INV-12", "a007", "a0", "x", "", "9" * 30, "-5", "n\n12", "a.b()"]
+    got = {r["k"]: (r["_stem"], r["_n"]) for r in O.split_key(spark.createDataFrame([(k,) for k in keys], "k string"), "k").collect()}
+    assert got == {"f:INV-12": ("f:INV-", 12), "a007": ("a00", 7), "a0": ("a", 0), "x": ("x", -1), "": ("", -1), "9" * 30: ("9" * 12, int("9" * 18)), "-5": ("-", 5), "n\n12": ("n\n", 12), "a.b()": ("a.b()", -1)}
+
+
+def test_keys_are_compressed_into_runs(spark):
+    d = spark.createDataFrame([("f", n) for n in (1, 2, 2, 3, 7, 9, 10, 510, 511, 512, 513, -1)], "s string, _n long").withColumn("_b", F.floor(F.col("_n") / O.BUCKET))
+    got = sorted((r["_n"], r["_last"]) for r in O.key_runs(d, ["s"]).collect())
+    assert got == [(-1, -1), (1, 3), (7, 7), (9, 10), (510, 511), (512, 513)]
+
+
 def test_states_with_and_without_salt(spark, monkeypatch):
     rnd = random.Random(4)
     day = lambda n: f"2025-01-{n:02}"
-    own = [(f"k{rnd.randrange(4)}", a := rnd.randrange(1, 15), rnd.choice([None, a + rnd.randrange(0, 8)])) for _ in range(12)]
-    refs = [(i, rnd.choice(["k0", "k0", "k0", "k1", "k2", "none"]), rnd.choice([None, *range(1, 25)])) for i in range(300)]
-    runs = O.life_runs(lives(spark, [(k, day(a), b and day(b)) for k, a, b in own]), ["key"], "a", "b")
+    own = [(f"k{rnd.choice([1, 2, 3, 7, 511, 512, 600])}", a := rnd.randrange(1, 15), rnd.choice([None, a + rnd.randrange(0, 8)])) for _ in range(14)] + [("plain", 3, 9), (None, 1, 2)]
+    refs = [(i, rnd.choice(["k1", "k1", "k1", "k2", "k4", "k7", "k8", "k511", "k512", "k513", "k01", "none", "plain", None]), rnd.choice([None, *range(1, 25)])) for i in range(600)]
+    parents = lives(spark, [(k, day(a), b and day(b)) for k, a, b in own])
     r = spark.createDataFrame([(i, k, n and day(n)) for i, k, n in refs], "row long, key string, at string").selectExpr("row", "key", "cast(at as timestamp_ntz) at")
     want = set()
     for i, k, n in refs:
         mine = [(a, b) for x, a, b in own if x == k]
-        if not (n and any(a <= n and (b is None or b > n) for a, b in mine)):
+        if k and not (n and any(a <= n and (b is None or b > n) for a, b in mine)):
             want.add((i, "missing" if not mine else "late" if n and any(a > n for a, _ in mine) else "deleted"))
-    plain = {(x["row"], x["state"]) for x in O.orphans(r, runs, ["key"], "at", ["row"]).collect()}
+    found = lambda: {(x["row"], x["state"]) for x in O.orphans(r, parents, [], "key", "at", ["row"], "a", "b").collect()}
+    plain = found()
     monkeypatch.setattr(O, "salted", lambda b, s, k, sp: scale.salted(b, s, k, sp, least=20))
-    split = {(x["row"], x["state"]) for x in O.orphans(r, runs, ["key"], "at", ["row"]).collect()}
-    assert plain == want and split == want
+    assert plain == want and found() == want and {s for _, s in want} == {"missing", "late", "deleted"}
 
 
 def test_references(spark):

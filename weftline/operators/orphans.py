@@ -1,10 +1,13 @@
 """References to records that do not exist (problem 4).
 
-A parent record lives from its creation to its deletion. On the axis of integer
-microseconds its lives are sorted and compressed into contiguous runs ``[start, end)``.
-A reference is matched as-of to the run that starts last at or before the moment it was
-recorded, and is an orphan if that moment lies beyond the run's end. A key without any run
-is missing. Keys referred to very often are salted: references spread, the few runs repeat.
+A key is a stem and an integer (``payments.ledger:INV-`` and 12; a key that ends in no number has
+-1). The sorted integers of a stem's parents are compressed into contiguous runs. A reference is
+matched as-of to the run that starts last at or before its integer: it is an orphan, of no record
+at all, if its integer lies beyond the run's end. In the same way the lives of each record, integers
+of microseconds, are compressed into runs, and a reference to a record that is there is matched
+as-of to the life that starts last at or before the moment it was recorded. Both runs stop at
+buckets of the integers, so that a stem of a third of all rows is spread; keys referred to very
+often are salted: references spread, the few runs repeat.
 """
 
 from __future__ import annotations
@@ -18,6 +21,27 @@ from weftline.functions.scale import salted
 FOREVER = "TIMESTAMP_NTZ '9999-12-31 00:00:00'"
 
 
+#: Integers of a stem that are held together.
+BUCKET = 512
+#: A key of a stem and an integer without leading zeros of at most 18 digits.
+SPLIT = r"^(?s)(.*?)(0|[1-9][0-9]{0,17})$"
+
+
+def split_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a key's ``_stem``, integer ``_n`` and bucket ``_b``; different keys differ in them."""
+    stem, digits = F.regexp_extract(key, SPLIT, 1), F.regexp_extract(key, SPLIT, 2)
+    n = F.when(digits != "", digits.cast("long")).otherwise(F.lit(-1).cast("long"))
+    return df.withColumns({"_stem": F.when(digits != "", stem).otherwise(F.col(key)), "_n": n}).withColumn("_b", F.floor(F.col("_n") / BUCKET))
+
+
+def key_runs(parents: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct integers of each of ``keys`` and bucket as contiguous runs ``keys, _b, _n, _last``
+    from ``_n`` to ``_last``. ``parents``: ``keys``, ``_b`` and ``_n``. No bucket holds more than ``BUCKET``."""
+    each = parents.select(*keys, "_b", "_n").distinct()
+    island = F.col("_n") - F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_n"))
+    return each.withColumn("_run", island).groupBy(*keys, "_b", "_run").agg(F.min("_n").alias("_n"), F.max("_n").alias("_last")).drop("_run")
+
+
 def life_runs(parents: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Lives per key compressed into contiguous runs ``keys, _from, _to``; a null end is open.
 
@@ -32,30 +56,40 @@ def life_runs(parents: DataFrame, keys: list[str], start: str, end: str) -> Data
     return numbered.groupBy(*keys, "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to")).drop("_run")
 
 
-def orphans(refs: DataFrame, runs: DataFrame, keys: list[str], at: str, row: list[str]) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, keys: list[str], key: str, at: str, row: list[str], start: str, end: str) -> DataFrame:
     """The references of ``refs`` that did not hold at ``at``, with ``state`` missing, late or deleted.
 
-    ``refs``: ``keys``, ``at`` and ``row`` (columns that tell the rows apart; also used to
-    spread hot keys). A reference without moment (``at`` null) holds nowhere: it is
-    ``missing`` if the key is unknown, else ``deleted``.
+    ``refs``: ``keys``, ``key``, ``at`` and ``row`` (columns that tell the rows apart; also used to
+    spread hot keys). ``parents``: ``keys``, ``key`` and the moments ``start`` and ``end`` of a life.
+    A reference without moment (``at`` null) holds nowhere: it is ``missing`` if the key is unknown,
+    else ``deleted``. Null keys refer to nothing and are no parents.
     """
-    refs, runs = salted(refs.select(*keys, F.col(at).cast("timestamp_ntz").alias("_at"), *row), runs, keys, [*row, "_at"])
-    empty = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in row]
-    both = runs.select(*keys, "_salt", F.col("_from").alias("_at"), "_to", F.lit(0).alias("_side"), *empty).unionByName(
-        refs.select(*keys, "_salt", "_at", F.lit(None).cast("timestamp_ntz").alias("_to"), F.lit(1).alias("_side"), *row)
+    known = split_key(parents.where(F.col(key).isNotNull()).select(*keys, key, start, end), key)
+    known = known.select(*keys, "_stem", "_b", "_n", start, end).distinct().repartition(*keys, "_stem", "_b")
+    group = [*keys, "_stem"]
+    runs = key_runs(known, group).select(*group, "_b", "_n", F.lit(None).cast("timestamp_ntz").alias("_at"), F.lit(None).cast("timestamp_ntz").alias("_to"), "_last", F.lit(0).alias("_side"))
+    lives = life_runs(known, [*group, "_b", "_n"], start, end).select(*group, "_b", "_n", F.col("_from").alias("_at"), "_to", F.lit(None).cast("long").alias("_last"), F.lit(1).alias("_side"))
+    refs = split_key(refs.where(F.col(key).isNotNull()).select(*keys, key, F.col(at).cast("timestamp_ntz").alias("_at"), *row), key)
+    refs, held = salted(refs, runs.unionByName(lives), [*group, "_b"], [*row, "_at"])
+    empty = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in [*row, key]]
+    both = held.select(*group, "_b", "_salt", "_n", "_at", "_to", "_last", "_side", *empty).unionByName(
+        refs.select(*group, "_b", "_salt", "_n", "_at", F.lit(None).cast("timestamp_ntz").alias("_to"), F.lit(None).cast("long").alias("_last"), F.lit(2).alias("_side"), *row, key)
     )
-    part = Window.partitionBy(*keys, "_salt")
-    asof = part.orderBy(F.col("_at").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.when((F.col("_side") == 0) & F.col("_at").isNotNull(), F.col("_to"))
+    # One order serves both: by integer, then by moment; a run of keys has no moment and comes first.
+    time = [F.col("_at").asc_nulls_first(), F.col("_side")]
+    of_key = Window.partitionBy(*group, "_b", "_salt").orderBy("_n", *time).rowsBetween(Window.unboundedPreceding, 0)
+    part = Window.partitionBy(*group, "_b", "_salt", "_n")
+    of_life = part.orderBy(*time).rowsBetween(Window.unboundedPreceding, 0)
     matched = both.select(
-        *keys, "_at", "_side", *row,
-        F.last(run, ignorenulls=True).over(asof).alias("_end"),
-        F.max(F.when(F.col("_side") == 0, F.col("_at"))).over(part).alias("_latest"),
-        F.min("_side").over(part).alias("_known"),
+        *keys, key, "_n", "_at", "_side", *row,
+        F.last("_last", ignorenulls=True).over(of_key).alias("_last"),
+        F.last(F.when(F.col("_at").isNotNull(), F.col("_to")), ignorenulls=True).over(of_life).alias("_end"),
+        F.max(F.when(F.col("_side") == 1, F.col("_at"))).over(part).alias("_latest"),
     )
-    holds = F.coalesce(F.col("_at") < F.col("_end"), F.lit(False))
-    state = F.when(F.col("_known") == 1, "missing").when(F.col("_latest") > F.col("_at"), "late").otherwise("deleted")
-    return matched.where((F.col("_side") == 1) & ~holds).select(*row, *keys, F.col("_at").alias(at), state.alias("state"))
+    there = F.coalesce(F.col("_n") <= F.col("_last"), F.lit(False))
+    holds = there & F.coalesce(F.col("_at") < F.col("_end"), F.lit(False))
+    state = F.when(~there, "missing").when(F.col("_latest") > F.col("_at"), "late").otherwise("deleted")
+    return matched.where((F.col("_side") == 2) & ~holds).select(*row, *keys, key, F.col("_at").alias(at), state.alias("state"))
 
 
 def trimmed(name: str) -> Column:
@@ -105,8 +139,7 @@ def rtm_targets(invariants: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def rtm_orphans(rtm: DataFrame, invariants: DataFrame, symbols: DataFrame) -> DataFrame:
     """References of the matrix that did not hold when recorded: ``row_id, field, ref_key, state, in_month``."""
-    runs = life_runs(rtm_targets(invariants, symbols), ["target", "ref_key"], "created_at", "deleted_at")
-    found = orphans(rtm_references(rtm), runs, ["target", "ref_key"], "recorded_at", ["row_id", "field"])
+    found = orphans(rtm_references(rtm), rtm_targets(invariants, symbols), ["target"], "ref_key", "recorded_at", ["row_id", "field"], "created_at", "deleted_at")
     month = F.coalesce(F.date_format("recorded_at", "yyyy-MM"), F.lit(""))
     return found.select("row_id", "field", "ref_key", "state", month.alias("in_month")).distinct()
 
