@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows a side may have to be sent to every executor.
@@ -20,31 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where no such folder is set, as in local tests, a temporary one is.
+    Only where no such folder is set and all runs in one process, as in local tests, a temporary one is.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+def cut(df: DataFrame, old: DataFrame | None = None, **seen: Column) -> DataFrame:
     """Cut the lineage by a table written in the shared folder, and read it back.
 
     A lost executor then costs a task's work at most. The table carries a merge hint: the size
     of compressed files proves nothing about rows in memory, so the planner must not broadcast
     it unasked. ``old``: an earlier cut that nothing needs once this one is written; its files go.
+    ``seen``: aggregates over the rows, taken while they are written; :func:`seen` tells them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The tasks that write count, each of them once, so a repeated stage counts no row twice.
+    watch = Observation() if seen else None
+    (df.observe(watch, *(c.alias(n) for n, c in seen.items())) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path).hint("merge")
     out._weftline_path = path
+    out._weftline_seen = watch.get if watch else {}
     if old is not None:
         drop(old)
     return out
 
 
+def seen(df: DataFrame, name: str):
+    """An aggregate that :func:`cut` took of the table it wrote; 0 if there were no rows."""
+    return df._weftline_seen.get(name) or 0
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a :func:`cut` table that is not needed any more."""
     path = getattr(df, "_weftline_path", None)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import cut, drop
+from weftline.functions.scale import cut, drop, seen
 
 ON_LOOP, BELOW_LOOP = -1, -2
 #: 2^62 levels are never reached; guards against a fault in the loops below.
@@ -34,14 +34,32 @@ def _numbered(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     for seed in range(100):
         at = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
         named = cut(nodes.select(at(F.col("k")).alias("id"), F.when(F.col("parent").isNotNull(), at(F.col("parent"))).alias("pid"), "k", "label"))
-        if named.groupBy("id").count().where("count > 1").isEmpty():
-            there = named.select(F.col("id").alias("pid"), F.lit(True).alias("there"))
-            linked = named.where("pid IS NOT NULL").select("id", "pid").join(there, "pid", "left").select("id", F.when(F.col("there"), F.col("pid")).alias("pid"))
-            return named.select("id", "k", "label"), cut(linked.unionByName(named.where("pid IS NULL").select("id", "pid")))
+        # Nodes by number, met by their children; keys that share a number are found on the way.
+        own = named.groupBy(F.col("id").alias("pid")).agg(F.count(F.lit(1)).alias("there"))
+        links = cut(named.select("id", "pid").join(own, "pid", "left").select("id", F.when(F.col("there") > 0, F.col("pid")).alias("pid")))
+        twice = cut(links.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), None, n=F.count(F.lit(1)))
+        clash = seen(twice, "n")
+        drop(twice)
+        if not clash:
+            return named.select("id", "k", "label"), links
         drop(named)
+        drop(links)
     raise ValueError("keys are not distinct")
 
 
+def _pointers(links: DataFrame) -> DataFrame:
+    """One row per node that points or is pointed at: ``id, up, size, more``, from ``id, up, size``.
+
+    ``size`` is what the node brings along, ``more`` what those that point at it bring. Each
+    pointer is sent to both its ends at once, so one shuffle serves the sizes and the next jump.
+    """
+    own = F.struct("id", "up", "size", F.lit(0).cast("long").alias("add"))
+    told = F.struct(F.col("up").alias("id"), F.lit(None).cast("long").alias("up"), F.lit(0).cast("long").alias("size"), F.col("size").alias("add"))
+    both = links.select(F.inline(F.array(own, told)))
+    table = both.groupBy("id").agg(F.max("up").alias("up"), F.max("size").alias("size"), F.sum("add").alias("more"))
+    return cut(table, None, active=F.count("up"))
+
+
 def separate(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``nodes (id, pid)`` with distinct ``id``; ``pid`` null or another ``id``.
 
@@ -50,28 +68,26 @@ def separate(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     a loop and -2 below one (None if there are none). Each round handles only the nodes deeper
     than 2^round, so the work is in proportion to the sum of the logarithms of the depths.
     """
-    active = cut(nodes.where("pid IS NOT NULL").select("id", F.col("pid").alias("up"), F.lit(1).cast("long").alias("size")))
-    pieces, n = None, active.count()
+    now = _pointers(nodes.where("pid IS NOT NULL").select("id", F.col("pid").alias("up"), F.lit(1).cast("long").alias("size")))
+    pieces, n = now.where("more > 0").select("id", "more"), seen(now, "active")
     for _ in range(MOST_ROUNDS):
         if not n:
-            return (pieces if pieces is not None else active.select("id", F.col("size").alias("more"))), None
-        more = active.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
-        more = cut(more)
-        pieces = more if pieces is None else pieces.unionByName(more)
+            return pieces, None
         # Who jumps to a node that jumps no further has reached its root's height: it leaves.
-        jumped = active.join(active.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up"), "size")
-        active = cut(jumped.join(more, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), active)
-        left = active.count()
+        active = now.where("up IS NOT NULL")
+        jumped = active.select("id", "up", (F.col("size") + F.col("more")).alias("size")).join(active.select(F.col("id").alias("up"), F.col("up").alias("next")), "up")
+        now = _pointers(jumped.select("id", F.col("next").alias("up"), "size"))
+        pieces, left = pieces.unionByName(now.where("more > 0").select("id", "more")), seen(now, "active")
         # No node has its root between 2^k and 2^(k+1) levels above: none lies deeper, the rest runs in loops.
         if left == n:
             break
         n = left
-    loops = cut(active.select("id", "up"), active)
-    image = loops.select("up").distinct().count()
+    loops = now.where("up IS NOT NULL").select("id", "up")
+    image, old = loops.select("up").distinct().count(), None
     for _ in range(MOST_ROUNDS):
         # The image of ever longer jumps shrinks to the loops themselves.
-        loops = cut(loops.join(loops.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")), loops)
-        smaller = loops.select("up").distinct().count()
+        loops = cut(loops.join(loops.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")), old)
+        old, smaller = loops, loops.select("up").distinct().count()
         if smaller == image:
             break
         image = smaller
@@ -96,22 +112,23 @@ def _chains(trees: DataFrame, sep: str) -> DataFrame:
     """Each node's chain: ``id, head, place, seg``, the segment of labels below the head down to the node."""
     heads = trees.where("NOT heavy").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("seg"))
     parts = [heads]
-    active = cut(trees.where("heavy").select("id", F.col("pid").alias("head"), F.lit(1).cast("long").alias("place"), F.col("label").alias("seg"), F.lit(False).alias("done")))
-    for _ in range(MOST_ROUNDS):
-        if active.isEmpty():
+    left = F.count_if(~F.col("done"))
+    active = cut(trees.where("heavy").select("id", F.col("pid").alias("head"), F.lit(1).cast("long").alias("place"), F.col("label").alias("seg"), F.lit(False).alias("done")), None, left=left)
+    for k in range(MOST_ROUNDS):
+        if not seen(active, "left"):
             break
-        known = active
+        # The pointers of this round, and of those that reached their head in the rounds before.
+        known = active if k == 0 else active.where("NOT done")
         for p in parts[1:]:
             known = known.unionByName(p.withColumn("done", F.lit(True)))
         up = known.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("place").alias("place2"), F.col("seg").alias("seg2"), F.col("done").alias("done2"))
         # A pointer at a node that is no heavy child points at the chain's head.
         far = F.col("head2").isNotNull()
-        step = active.join(up, "head", "left").select(
+        step = active.where("NOT done").join(up, "head", "left").select(
             "id", F.coalesce("head2", "head").alias("head"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place"), F.concat_ws(sep, "seg2", "seg").alias("seg"), (~far | F.coalesce("done2", F.lit(False))).alias("done")
         )
-        both = cut(step)
-        parts.append(both.where("done").drop("done"))
-        active = both.where("NOT done")
+        active = cut(step, None, left=left)
+        parts.append(active.where("done").drop("done"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -159,13 +176,14 @@ def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, se
         chain = chain.withColumn("off", F.lit(None).cast("long"))
     none = F.lit(None).cast("string")
     # ``prefix``: labels from below the upper chain's head down to this chain's head, that included.
-    chain = cut(chain.select("chain", F.coalesce("up", "chain").alias("up"), F.col("up").isNull().alias("done"), F.coalesce(F.col("at") + 1, F.lit(0)).alias("dist"), F.coalesce(F.col("at") + F.col("off"), F.lit(0)).alias("pre"), (F.concat_ws(sep, "above", "label") if paths else none).alias("prefix")))
+    left = F.count_if(~F.col("done"))
+    chain = cut(chain.select("chain", F.coalesce("up", "chain").alias("up"), F.col("up").isNull().alias("done"), F.coalesce(F.col("at") + 1, F.lit(0)).alias("dist"), F.coalesce(F.col("at") + F.col("off"), F.lit(0)).alias("pre"), (F.concat_ws(sep, "above", "label") if paths else none).alias("prefix")), None, left=left)
     for _ in range(MOST_ROUNDS):
-        if chain.where("NOT done").isEmpty():
+        if not seen(chain, "left"):
             break
         up = chain.select(F.col("chain").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"), F.col("dist").alias("dist2"), F.col("pre").alias("pre2"), F.col("prefix").alias("prefix2"))
         moved = chain.where("NOT done").join(up, "up").select("chain", F.col("up2").alias("up"), F.col("done2").alias("done"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("pre") + F.col("pre2")).alias("pre"), (F.concat_ws(sep, "prefix2", "prefix") if paths else none).alias("prefix"))
-        chain = cut(chain.where("done").unionByName(moved), chain)
+        chain = cut(chain.where("done").unionByName(moved), chain, left=left)
 
     cols = ["id", F.col("up").alias("rid"), (F.col("dist") + F.col("place")).cast("int").alias("depth"), F.col("head").alias("chain"), "place"]
     kinds = {"rid": "long", "chain": "long", "place": "long"}
