@@ -71,7 +71,29 @@ def test_matches_brute_force(spark):
 
 
 def test_very_deep_and_long_values(spark):
-    deep = '{"Owners": "o", "Value": ' + '{"a": [' * 1500 + "1" + "]}" * 1500 + "}"
+    for levels in (1500, 10_000, 20_000):
+        nest = '{"a": [' * levels + "1" + "]}" * levels
+        deep = f'{{"Owners": "o", "Value": {nest}, "Capabilities": [{{"ID": "c", "Value": {nest}, "Rules": ["r"]}}]}}'
+        assert flat(deep) == [("capability", 0, 1, "c"), ("owner", 0, 1, "o"), ("rule", 1, 1, "")]
     long = json.dumps({"Owners": "x" * 300_000})
-    got = {r["doc"]: r["f_business"] for r in N.manifest_records(spark.createDataFrame([(1, deep), (2, long)], "manifest_id long, body string"), ["business"]).collect()}
-    assert got[2] == "x" * 300_000 and got.get(1, "o") == "o"
+    got = {r["doc"]: r["f_business"] for r in N.manifest_records(spark.createDataFrame([(1, deep), (2, long)], "manifest_id long, body string"), ["business"]).where("child = 'owner'").collect()}
+    assert got == {1: "o", 2: "x" * 300_000}
+
+
+def test_stream_of_triples():
+    kinds = {N.OBJECT: "{", N.LIST: "["}
+    got = [(N._path(s, m), kinds.get(v, v)) for s, m, v in N.stream('{"A": {"b_c": [1, [true, {"d": null}]], "e": {}}, "f": [[[[[["x"]]]]]]}')]
+    assert got == [("", "{"), ("a", "{"), ("a.bc", "["), ("a.bc[1]", 1), ("a.bc[2]", "["), ("a.bc[2][1]", True), ("a.bc[2][2]", "{"), ("a.bc[2][2].d", None), ("a.e", "{"), ("f", "["), ("f[1]", "["), ("f[1][1]", "["), ("f[1][1][1]", "["), ("f[1][1][1][1]", "["), ("f[1][1][1][1][1]", "["), ("f[1][1][1][1][1][1]", "x")]
+
+
+def test_flat_tables(spark):
+    body = {"ID": "f", "Owners": {"Business": "b", "OnCall": "n"}, "Capabilities": {"c1": {"Summary": "s", "Rules": ["r1", None, "r2"], "CounterExamples": "only"}, "c2": {}},
+            "Invariants": [{"ID": "INV-1", "VerifiableBy": ["test", "review"], "cases": [{"id": "a", "retired": True, "enforcer": {"x": 1}}, {}]}], "DependsOn": ["x.y"], "Value": {"n": 1}}
+    df = spark.createDataFrame([(1, json.dumps(body)), (1, json.dumps(body)), (2, "{"), (None, "{}")], "manifest_id long, body string").withColumn("ordinal", F.lit("clash"))
+    rows = lambda t: sorted(tuple(r) for r in N.manifest_table(df, t).collect())
+    assert rows("owners") == [(1, 1, "b", None, "n")] and rows("capabilities") == [(1, 1, "c1", None, "s"), (1, 2, "c2", None, None)]
+    assert rows("rules") == [(1, 1, 1, "r1"), (1, 1, 2, "r2")] and rows("counter_examples") == [(1, 1, 1, "only")]
+    assert rows("invariants") == [(1, 1, "INV-1", None)] and rows("verifiable_by") == [(1, 1, 1, "test"), (1, 1, 2, "review")]
+    assert rows("cases") == [(1, 1, 1, "a", None, None, None, "true"), (1, 1, 2, None, None, None, None, None)] and rows("depends_on") == [(1, 1, "x.y")]
+    assert {r[0] for t in N.TABLES for r in rows(t)} == {1}
+    assert N.manifest_table(df.where("1 = 0"), "cases").count() == 0

@@ -6,10 +6,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from json.decoder import scanstring
 
-_SPACE = re.compile(r"[ \t\n\r]*")
-_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+#: One token behind white space; any other sign stands for itself and is no token.
+_TOKEN = re.compile(r"""[ \t\n\r]*([{}\[\],:]|"[^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|[^ \t\n\r])""", re.S)
 _WORDS = {"true": True, "false": False, "null": None}
 #: Kinds of events.
 OPEN_OBJECT, OPEN_LIST, CLOSE, KEY, SCALAR = range(5)
@@ -19,78 +18,65 @@ def _reject(token: str):
     raise ValueError(token)
 
 
+def _scalar(token: str):
+    if token[0] == '"':
+        if len(token) < 2:
+            raise ValueError("open string")
+        return json.loads(token) if "\\" in token else token[1:-1]
+    if token in _WORDS:
+        return _WORDS[token]
+    if token[0] in "-0123456789" and token != "-":
+        return int(token) if token.lstrip("-").isdigit() else float(token)
+    raise ValueError(f"no value: {token[:20]}")
+
+
 def events(text: str) -> Iterator[tuple[int, object]]:
     """The events of a JSON text in written order, ``(kind, name or scalar)``; ValueError if it isn't JSON."""
-    at = _SPACE.match(text).end()
-    stack: list[str] = []
-    need_value = True
-    space, number = _SPACE.match, _NUMBER.match
-    while True:
-        if need_value:
-            c = text[at : at + 1]
+    ends: list[str] = []
+    state = "value"
+    for token in _TOKEN.findall(text):
+        c = token[0]
+        if state in ("value", "first item"):
             if c == "{":
                 yield OPEN_OBJECT, None
-                at = space(text, at + 1).end()
-                if text[at : at + 1] == "}":
-                    yield CLOSE, None
-                    at += 1
-                else:
-                    stack.append("}")
-                    if text[at : at + 1] != '"':
-                        raise ValueError("no name")
-                    name, at = scanstring(text, at + 1, True)
-                    yield KEY, name
-                    at = space(text, at).end()
-                    if text[at : at + 1] != ":":
-                        raise ValueError("no colon")
-                    at = space(text, at + 1).end()
-                    continue
+                ends.append("}")
+                state = "first name"
             elif c == "[":
                 yield OPEN_LIST, None
-                at = space(text, at + 1).end()
-                if text[at : at + 1] == "]":
-                    yield CLOSE, None
-                    at += 1
-                else:
-                    stack.append("]")
-                    continue
-            elif c == '"':
-                value, at = scanstring(text, at + 1, True)
-                yield SCALAR, value
-            elif m := number(text, at):
-                yield SCALAR, (float(m[0]) if m[1] or m[2] else int(m[0]))
-                at = m.end()
+                ends.append("]")
+                state = "first item"
+            elif c == "]" and state == "first item":
+                yield CLOSE, None
+                ends.pop()
+                state = "after"
             else:
-                word = next((w for w in _WORDS if text.startswith(w, at)), None)
-                if word is None:
-                    raise ValueError("no value")
-                yield SCALAR, _WORDS[word]
-                at += len(word)
-        at = space(text, at).end()
-        if not stack:
-            if at < len(text):
+                yield SCALAR, _scalar(token)
+                state = "after"
+        elif state == "after":
+            if not ends:
                 raise ValueError("more behind the value")
-            return
-        c = text[at : at + 1]
-        if c == ",":
-            at = space(text, at + 1).end()
-            if stack[-1] == "}":
-                if text[at : at + 1] != '"':
-                    raise ValueError("no name")
-                name, at = scanstring(text, at + 1, True)
-                yield KEY, name
-                at = space(text, at).end()
-                if text[at : at + 1] != ":":
-                    raise ValueError("no colon")
-                at = space(text, at + 1).end()
-            need_value = True
-        elif c == stack[-1]:
+            if c == ",":
+                state = "name" if ends[-1] == "}" else "value"
+            elif c == ends[-1]:
+                yield CLOSE, None
+                ends.pop()
+            else:
+                raise ValueError("no comma or end")
+        elif state == "colon":
+            if c != ":":
+                raise ValueError("no colon")
+            state = "value"
+        elif c == '"':
+            yield KEY, _scalar(token)
+            state = "colon"
+        elif c == "}" and state == "first name":
             yield CLOSE, None
-            stack.pop()
-            at += 1
-            need_value = False
+            ends.pop()
+            state = "after"
         else:
-            raise ValueError("no comma or end")
+            raise ValueError("no name")
+    if ends or state != "after":
+        raise ValueError("no end")
 
 
 def _built(text: str, make):
@@ -114,7 +100,7 @@ def _built(text: str, make):
     return done
 
 
-def loads(text: str, pairs=dict):
+def loads(text: str, pairs: type = dict):
     """A JSON value; objects are made by ``pairs`` from their (name, value) in written order."""
     try:
         return json.loads(text, object_pairs_hook=None if pairs is dict else pairs, parse_constant=_reject)
@@ -179,3 +165,8 @@ def canonical(value) -> str:
             holder[key] = list(x)
             todo += [(holder[key], k) for k, v in enumerate(x) if isinstance(v, (float, dict, list))]
     return dumps(top[0], True)
+
+
+def plain_text(text: str | None) -> str | None:
+    """Halves of surrogate pairs, which JSON may escape but no column holds, escaped again."""
+    return text if text is None or text.isascii() else "".join(c if not "\ud800" <= c <= "\udfff" else f"\\u{ord(c):04x}" for c in text)

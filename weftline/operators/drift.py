@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.deep import canonical, dumps, loads
+from weftline.functions.deep import canonical, dumps, loads, plain_text
 from weftline.functions.scale import checked_broadcast, cut, small_or_none
 
 TYPES = ("string", "number", "boolean", "object", "array")
@@ -305,12 +305,7 @@ def _pieces(part, fields: list[str]):
             records = body.get(c)
             records = [records] if isinstance(records, dict) and records else records
             if isinstance(records, list) and records:
-                yield *(row[k] for k in fields), c, signature(schema_of(records)), _plain_text(dumps(records))
-
-
-def _plain_text(text: str) -> str:
-    """Halves of surrogate pairs, which JSON may escape but no column holds, escaped again."""
-    return text if text.isascii() else "".join(c if not "\ud800" <= c <= "\udfff" else f"\\u{ord(c):04x}" for c in text)
+                yield *(row[k] for k in fields), c, signature(schema_of(records)), plain_text(dumps(records))
 
 
 def profiles(files: DataFrame) -> DataFrame:
@@ -362,7 +357,7 @@ def field_changes(found: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 32):
                 part, rows = b.slice(at, 32), []
                 for r in part.to_pylist():
-                    rows += [(r["file_id"], r["collection"], *(_plain_text(x) if isinstance(x, str) else x for x in c)) for c in compare(loads(r["before"]), loads(r["after"]))]
+                    rows += [(r["file_id"], r["collection"], *(plain_text(x) if isinstance(x, str) else x for x in c)) for c in compare(loads(r["before"]), loads(r["after"]))]
                 if rows:
                     cols = list(zip(*rows))
                     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64()]
@@ -398,7 +393,7 @@ def column_names(found: DataFrame, collection: str) -> tuple[dict[str, str], dic
             rows = []
             for (sig, text, n) in zip(*(b.column(i).to_pylist() for i in range(3))):
                 f = schema_of(loads(text))
-                rows += [(sig, _plain_text(path_of(f, p)), sorted(x.types), n) for p, x in f.items() if _outside(f, p)]
+                rows += [(sig, plain_text(path_of(f, p)), sorted(x.types), n) for p, x in f.items() if _outside(f, p)]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.int64())], names=["sig", "path", "types", "n"])

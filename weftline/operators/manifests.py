@@ -8,7 +8,6 @@ item by item (``invariants[INV-1].statement``), other lists as a whole.
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterator
 
@@ -16,14 +15,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import deep
 from weftline.functions.scale import cut
-from weftline.operators.nested import BARE, DEEPEST, RECORD_LISTS, Pairs, plain_name, read_json, records
+from weftline.operators.nested import BARE, LIST, OBJECT, RECORD_LISTS, plain_name, records
+
+#: Frames allowed for very deep values.
+DEEPEST = 50_000
 
 #: Fields that name an item of a list; the first one that every item of both sides carries, with distinct values, is used.
 LIST_KEYS = ("id", "code", "adr", "seat", "feature", "symbol")
 PAIR = ["feature_id", "from_version", "version", "from_manifest", "manifest_id"]
 
 
+class Pairs(list):
+    """The fields of a JSON object in written order."""
+
+
+class Trees:
+    """A JSON value as a tree, its objects as :class:`Pairs`."""
+
+    top = staticmethod(lambda v: OBJECT if isinstance(v, Pairs) else LIST if isinstance(v, list) else v)
+
+    @staticmethod
+    def members(v):
+        return (((name, n), x) for n, (name, x) in enumerate(v)) if isinstance(v, Pairs) else (((None, n), x) for n, x in enumerate(v))
+
+    @staticmethod
+    def unwrap(v):
+        if isinstance(v, str) and v.strip()[:1] in ("[", "{"):
+            try:
+                return deep.loads(v, Pairs)
+            except ValueError:
+                pass
+        return v
+
+
 def _one_form(v, path: tuple = ()):
     if isinstance(v, Pairs):
         out: dict = {}
@@ -32,7 +58,7 @@ def _one_form(v, path: tuple = ()):
                 continue
             below = (*path, plain_name(name))
             child = RECORD_LISTS.get(below)
-            y = [_item(key, item, child, below) for key, item in records(x, child)] if child else _one_form(x, below)
+            y = [_item(key, item, child, below) for key, item in records(x, child, Trees)] if child else _one_form(x, below)
             # One owner is an object, as the schema has it.
             out[below[-1]] = y[0] if child == "owner" and len(y) == 1 else y
         return {k: y for k, y in out.items() if y not in ("", [], {})}
@@ -47,14 +73,14 @@ def _item(key: str | None, item, child: str, path: tuple):
 def canonical(body: str | None) -> str | None:
     """The one form of a body as JSON; None if it is not a readable manifest."""
     try:
-        root = read_json(body)
-        return json.dumps(_one_form(root), ensure_ascii=False, sort_keys=True) if isinstance(root, Pairs) else None
+        root = deep.loads(body, Pairs) if body is not None else None
+        return deep.plain_text(deep.dumps(_one_form(root), True)) if isinstance(root, Pairs) else None
     except (ValueError, RecursionError):
         return None
 
 
 def _text(v) -> str | None:
-    return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
+    return v if v is None or isinstance(v, str) else deep.dumps(v, True)
 
 
 def _named(items: list, key: str) -> bool:
@@ -79,7 +105,7 @@ def differences(a, b, path: str = "") -> Iterator[tuple[str, str, str | None, st
                     yield from differences(x.get(k), y.get(k), f"{path}[{k}]")
                 return
         # By JSON text, as 1 and true are not one.
-        if type(a) is not type(b) or json.dumps(a, sort_keys=True) != json.dumps(b, sort_keys=True):
+        if type(a) is not type(b) or deep.dumps(a, True) != deep.dumps(b, True):
             yield path, "changed", _text(a), _text(b)
 
 
@@ -136,7 +162,7 @@ def manifest_changes(features: DataFrame) -> DataFrame:
     # Only bodies that differ are brought together; each form is held once.
     forms = states.where("sig IS NOT NULL").groupBy("sig").agg(F.min("form").alias("form"))
     both = moved.join(forms.select(F.col("sig").alias("old_sig"), F.col("form").alias("old_form")), "old_sig").join(forms, "sig").select(*PAIR, "old_form", "form")
-    inner = _mapped(both, lambda r: ((*r[:-2], *d) for d in differences(json.loads(r[-2]), json.loads(r[-1]))), len(PAIR), ["field", "change", "before", "after"])
+    inner = _mapped(both, lambda r: ((*r[:-2], *d) for d in differences(deep.loads(r[-2]), deep.loads(r[-1]))), len(PAIR), ["field", "change", "before", "after"])
 
     none = F.lit(None).cast("string")
     bad = states.where("sig IS NULL").select("feature_id", F.lit(None).cast("int").alias("from_version"), "version", F.lit(None).cast("long").alias("from_manifest"), "manifest_id", F.lit("").alias("field"), F.lit("unreadable").alias("change"), none.alias("before"), none.alias("after")).distinct()

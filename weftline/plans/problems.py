@@ -83,7 +83,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("doc").alias("manifest_id"), "child", "parent_ordinal", "ordinal", F.coalesce(item, F.lit("")).alias("item"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_brds, p2_found, p2_paths, p2_descendants, p2_below, p3_found, p3_values, p4_found, p4_counts, p5_found)}
+def _manifest_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: nested.manifest_table(table(spark, sf, "features"), name)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_brds, p2_found, p2_paths, p2_descendants, p2_below, p3_found, p3_values, p4_found, p4_counts, p5_found)} | {f"p5_{t}": _manifest_table(t) for t in nested.TABLES}
 
 _P3 = r"""
 WITH n AS (
