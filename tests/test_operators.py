@@ -161,3 +161,31 @@ def test_long_routes(spark):
     calls = spark.createDataFrame([("GET", f"/{long}/7"), ("GET", f"/{long}/u"), ("POST", f"/{long}/7"), ("GET", f"/{long}/7/8"), ("GET", "/" + "/".join("x" * 40))], "method string, path string")
     got = {(r["method"], r["path"]): (r["routes"], r["outcome"]) for r in joins.route_join(calls, routes).collect()}
     assert got == {("GET", f"/{long}/7"): (1, "edge"), ("GET", f"/{long}/u"): (2, "ambiguous"), ("POST", f"/{long}/7"): (0, "no_route"), ("GET", f"/{long}/7/8"): (0, "no_route"), ("GET", "/" + "/".join("x" * 40)): (1, "edge")}
+
+
+def test_marks_flow_together(spark):
+    e = [("r", "a", 15), ("a", "b", 10), ("b", "c", 15), ("t", "c", 15), ("c", "c", 15), ("c", "d", 10), ("x", "y", 15), (None, "z", 15)]
+    edges = spark.createDataFrame(e, "src string, dst string, lets int")
+    start = spark.createDataFrame([("r", 3), ("t", 12), (None, 3)], "node string, bits int")
+    got = {r["node"]: r["bits"] for r in graph.marks(edges, start).collect()}
+    assert got == {"r": 3, "t": 12, "a": 3, "b": 2, "c": 14, "d": 10}
+    sure, may = edges.where("lets = 15").select("src", "dst"), edges.select("src", "dst")
+    nodes = spark.createDataFrame([(n,) for n in "rabctdxyz"], "node string")
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    got = {r["node"]: r["class"] for r in graph.reach_classes(nodes, sure, may, one("r"), one("t")).collect()}
+    assert got == {"r": "entry", "a": "entry", "b": "unknown", "c": "unknown", "d": "unknown", "t": "test_only", "x": "unreached", "y": "unreached", "z": "unreached"}
+    assert {r["class"] for r in graph.reach_classes(nodes, sure, may, one("r").where("1 = 0"), one("t")).collect()} == {"unknown"}
+
+
+def test_rounds_end_with_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 5)
+    line = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        graph.closure(line, spark.createDataFrame([("0",)], "node string"))
+    assert graph.closure(line, spark.createDataFrame([("0",)], "node string"), 2).count() == 3
+
+
+def test_mentionable_names(spark):
+    names = ["totalFee", "HTTPServer", "total_fee", "MAX_FEE", "plain", "Summary", "_lead", "trail_", "a__b", "1stName", "getId", "GETVALUE", "setState", "aB", "x_y1"]
+    got = {r["n"] for r in spark.createDataFrame([(n,) for n in names], "n string").where(filters.mentionable(F.col("n"))).collect()}
+    assert got == {"totalFee", "HTTPServer", "total_fee", "MAX_FEE", "x_y1"}

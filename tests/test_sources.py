@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -63,7 +64,7 @@ def test_changes(spark, tmp_path):
     assert rows(reports.ledger(spark, f), "event", "unit") == [("e", "u")]
 
 
-@pytest.mark.parametrize(("head", "name"), [("mode: set\n", "go_cover"), ("TN:\nSF:x", "lcov"), ("1..2\nok 1", "tap"), ("<testsuites>", "junit"), ('<coverage line-rate="1">', "cobertura"), ('<coverage clover="3">', "clover"), ('{"a": {"statementMap": {}}}', "istanbul"), ("file,schema,function,calls", "calls_csv"), ("hello", None), ("<html>", None), ("{}", None), ("", None)])
+@pytest.mark.parametrize(("head", "name"), [("mode: set\n", "go_cover"), ("TN:\nSF:x", "lcov"), ("1..2\nok 1", "tap"), ("<testsuites>", "junit"), ('<coverage line-rate="1">', "cobertura"), ('<coverage clover="3">', "cobertura"), ('<?xml version="1.0"?><!-- <x> --><coverage generated="3"><project>', "clover"), ("<coverage><project", "clover"), ("<testsuite", "junit"), ('{"meta": {"v": 1}, "files": {"a": {"exec', "coverage_py"), ('{"format": "pg_stat_user_functions", "runs": [', "calls_json"), ('{"files": {"a": {"mutants": [', "mutation"), ("Calls, SCHEMA ,function", "calls_csv"), ("my function calls", None), ('{"a": {"statementMap": {}}}', "istanbul"), ("file,schema,function,calls", "calls_csv"), ("hello", None), ("<html>", None), ("{}", None), ("", None)])
 def test_sniff(head, name):
     assert reports.sniff(head) == name
 
@@ -73,6 +74,11 @@ def test_read_report(spark, tmp_path):
     assert name == "go_cover" and df.count() == 1
     with pytest.raises(ValueError):
         reports.read_report(spark, put(tmp_path, "y", "what"))
+    (tmp_path / "many").mkdir()
+    put(tmp_path, "many/a", "mode: set\na.go:1.1,1.2 1 1\n")
+    put(tmp_path, "many/b", "TN:\nSF:x\n")
+    with pytest.raises(ValueError, match="several"):
+        reports.read_report(spark, str(tmp_path / "many"))
 
 
 def test_code_scan(spark, tmp_path):
@@ -91,7 +97,12 @@ def test_sinks(spark, tmp_path):
     at = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a", "g.x"), (2, None, "g.y"), (2, None, "g.y")], "id int, v string, grp string")
     assert sinks.write_if_changed(df, at) and not sinks.write_if_changed(df.orderBy("v").repartition(3), at)
-    assert sinks.write_if_changed(df.limit(2), at) and spark.read.parquet(at).count() == 2
+    assert sinks.write_if_changed(df.limit(2), at) and sinks.current(spark, at).count() == 2
+    held = sinks.current(spark, at)
+    sinks.swap(df.limit(1), at)
+    assert held.count() == 2 and sinks.current(spark, at).count() == 1  # a reader of the version before reads on
+    sinks.swap(df, at)
+    assert len([f for f in os.listdir(at) if f.startswith("v-")]) == 2 and sinks.current(spark, str(tmp_path / "none")) is None
     sinks.write_sharded(df, str(tmp_path / "s"), "grp")
     assert spark.read.parquet(str(tmp_path / "s")).where("grp = 'g.y'").count() == 2
     one = spark.createDataFrame([("k", 1, "x")], "key string, version long, body string")

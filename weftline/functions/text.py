@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning of their own (fixed values).
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "must", "of", "on", "or", "shall", "should", "that", "the", "to", "will", "with")
+STOPWORDS = ("the", "a", "an", "of", "to", "and", "or", "is", "are", "be", "for", "in", "on", "with", "that", "this", "it", "as", "by", "from", "must", "not", "can", "will")
 #: Offset basis and prime of 32-bit FNV-1a (fixed values).
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 

@@ -79,9 +79,24 @@ def active(df: DataFrame, expires: str, now: str) -> DataFrame:
     return df.where(at.isNull() | (at > F.lit(now).cast("timestamp_ntz")))
 
 
-def mentionable(name: Column, common: tuple[str, ...] = ()) -> Column:
-    """A compound name of four signs or more that is not a common one."""
-    return (F.length(name) >= 4) & name.rlike("(_|[a-z][A-Z])") & ~name.isin(*common)
+#: Compound names that say nothing in a test (fixed values), compared without case.
+COMMON_NAMES = """
+beforeEach afterEach beforeAll afterAll setUp tearDown setUpClass
+toBe toEqual toBeVisible toHaveText toContain toMatch toThrow
+getByRole getByText getByTestId getByLabel getByLabelText querySelector
+forEach toString toJSON valueOf hasOwnProperty isArray
+useState useEffect useMemo useCallback useRef useContext setState
+onClick onChange onSubmit onLoad onError onClose
+isEmpty isValid isEnabled getValue setValue getName setName getData
+setData getItem setItem getId
+"""
+
+
+def mentionable(name: Column, common: str = COMMON_NAMES) -> Column:
+    """A compound name of four signs or more, not beginning with a digit, that is not a common one. It
+    joins words by a capital letter (``totalFee``, ``HTTPServer``) or by ``_`` between letters or digits."""
+    compound = name.rlike("[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z0-9]_[A-Za-z0-9]")
+    return (F.length(name) >= 4) & ~name.rlike("^[0-9]") & compound & ~F.lower(name).isin(*common.lower().split())
 
 
 def narrowing_terms(rows: DataFrame, promises: DataFrame, key: str, statement: str, promise: str) -> DataFrame:

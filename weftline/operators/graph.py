@@ -3,15 +3,22 @@ lineage is cut in the shared folder, and a round's leftovers are deleted."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import cut, drop
+from weftline.functions.scale import cut, drop, seen
 
-#: Guards against a fault in the loops; no walk below needs as many rounds.
+#: Guards against a fault in the loops: a walk that needs more rounds stops with an error, never with a part.
 MOST_ROUNDS = 10_000
 
 
+def _rounds(first: int = 0) -> Iterator[int]:
+    yield from range(first, MOST_ROUNDS)
+    raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
+
+
 #: Parts of a growing table before they are written together.
 MOST_PARTS = 8
 
@@ -43,23 +50,29 @@ def _edges(edges: DataFrame) -> DataFrame:
     return edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A round's rows, counted while they are written (``seen(df, "n")``)."""
+    return cut(df, None, n=F.count(F.lit(1)))
+
+
 def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All nodes reached from ``start (node)`` along ``edges (src, dst)`` with the fewest hops:
     ``node, depth``; the start itself has depth 0. Null nodes are left out."""
     e = cut(_edges(edges))
     frontier = cut(start.where("node IS NOT NULL").select("node").distinct().withColumn("depth", F.lit(0)))
-    seen, n = _Grown(frontier), 0
-    while (max_depth is None or n < max_depth) and n < MOST_ROUNDS:
-        n += 1
+    found = _Grown(frontier)
+    for n in _rounds(1):
+        if max_depth is not None and n > max_depth:
+            break
         step = frontier.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
-        new = cut(step.join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
-        if new.isEmpty():
+        new = _cut(step.join(found.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
+        if not seen(new, "n"):
             drop(new)
             break
-        seen.add(new)
+        found.add(new)
         frontier = new
     drop(e)
-    return seen.all()
+    return found.all()
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, direction: str = "out") -> DataFrame:
@@ -81,30 +94,57 @@ def pair_closure(edges: DataFrame, seeds: DataFrame, carry: str) -> DataFrame:
     ``node, carry``, each round working on the new pairs only."""
     e = cut(_edges(edges))
     new = cut(seeds.where(F.col("node").isNotNull() & F.col(carry).isNotNull()).select("node", carry).distinct())
-    seen = _Grown(new)
-    for _ in range(MOST_ROUNDS):
+    found = _Grown(new)
+    for _ in _rounds():
         step = new.select(F.col("node").alias("src"), carry).join(e, "src").select(F.col("dst").alias("node"), carry).distinct()
-        fresh = cut(step.join(seen.all(), ["node", carry], "left_anti"))
-        if fresh.isEmpty():
+        fresh = _cut(step.join(found.all(), ["node", carry], "left_anti"))
+        if not seen(fresh, "n"):
+            drop(fresh)
+            break
+        found.add(fresh)
+        new = fresh
+    drop(e)
+    return found.all()
+
+
+#: Marks of a node: surely and possibly reached from a root, surely and possibly reached from a test.
+FROM_ROOT, MAY_ROOT, FROM_TEST, MAY_TEST = 1, 2, 4, 8
+
+
+def marks(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Marks that flow along edges until none is new: ``node, bits``. ``start (node, bits)``; ``edges
+    (src, dst, lets)``: an edge lets those bits through. All marks go in one walk, whose rounds are as
+    many as the longest of their ways has hops."""
+    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.bit_or("lets").alias("lets")))
+    new = cut(start.where("node IS NOT NULL AND bits <> 0").groupBy("node").agg(F.bit_or("bits").alias("bits")))
+    found = _Grown(new)
+    total = lambda: found.all().groupBy("node").agg(F.bit_or("bits").alias("bits"))
+    for _ in _rounds():
+        told = new.select(F.col("node").alias("src"), "bits").join(e, "src").select(F.col("dst").alias("node"), F.col("bits").bitwiseAND(F.col("lets")).alias("b")).where("b <> 0").groupBy("node").agg(F.bit_or("b").alias("b"))
+        fresh = told.join(total(), "node", "left").select("node", F.expr("b & ~coalesce(bits, 0)").alias("bits")).where("bits <> 0")
+        fresh = _cut(fresh)
+        if not seen(fresh, "n"):
             drop(fresh)
             break
-        seen.add(fresh)
+        found.add(fresh)
         new = fresh
     drop(e)
-    return seen.all()
+    return total()
 
 
 def reach_classes(nodes: DataFrame, must: DataFrame, may: DataFrame, roots: DataFrame, tests: DataFrame) -> DataFrame:
     """Class of each node, first that applies: no roots at all `unknown`; surely reached from a
     root `entry`; possibly `unknown`; surely reached from a test `test_only`; possibly `unknown`;
-    else `unreached`."""
+    else `unreached`. Both kinds of edges and of starts are walked at once."""
     out = nodes.select("node").where("node IS NOT NULL").distinct()
     if roots.isEmpty():
         return out.withColumn("class", F.lit("unknown"))
-    for name, edges, start in (("a", must, roots), ("b", may, roots), ("c", must, tests), ("d", may, tests)):
-        out = out.join(closure(edges, start).select("node", F.lit(True).alias(name)), "node", "left")
-    cls = F.when(F.col("a"), "entry").when(F.col("b"), "unknown").when(F.col("c"), "test_only").when(F.col("d"), "unknown").otherwise("unreached")
-    return out.select("node", cls.alias("class"))
+    lets = lambda e, bits: e.select("src", "dst", F.lit(bits).alias("lets"))
+    edges = lets(must, FROM_ROOT | FROM_TEST).unionByName(lets(may, MAY_ROOT | MAY_TEST))
+    start = roots.select("node", F.lit(FROM_ROOT | MAY_ROOT).alias("bits")).unionByName(tests.select("node", F.lit(FROM_TEST | MAY_TEST).alias("bits")))
+    bit = lambda b: F.col("bits").bitwiseAND(F.lit(b)) != 0
+    cls = F.when(bit(FROM_ROOT), "entry").when(bit(MAY_ROOT), "unknown").when(bit(FROM_TEST), "test_only").when(bit(MAY_TEST), "unknown").otherwise("unreached")
+    return out.join(marks(edges, start), "node", "left").select("node", cls.alias("class"))
 
 
 def rapid_types(sure: DataFrame, maybe: DataFrame, start: DataFrame) -> DataFrame:
@@ -115,34 +155,35 @@ def rapid_types(sure: DataFrame, maybe: DataFrame, start: DataFrame) -> DataFram
     """
     e, m = cut(_edges(sure)), cut(maybe.where("type IS NOT NULL").select("src", "dst", "type").distinct())
     new = cut(start.where("node IS NOT NULL").select("node").distinct())
-    seen = _Grown(new)
-    for _ in range(MOST_ROUNDS):
-        s = seen.all()
+    found = _Grown(new)
+    for _ in _rounds():
+        s = found.all()
         by_edge = new.join(e, new.node == e.src).select(F.col("dst").alias("node"))
         by_type = m.join(s.withColumnRenamed("node", "src"), "src", "left_semi").join(s.withColumnRenamed("node", "type"), "type", "left_semi").select(F.col("dst").alias("node"))
-        fresh = cut(by_edge.unionByName(by_type).distinct().join(s, "node", "left_anti"))
-        if fresh.isEmpty():
+        fresh = _cut(by_edge.unionByName(by_type).distinct().join(s, "node", "left_anti"))
+        if not seen(fresh, "n"):
             drop(fresh)
             break
-        seen.add(fresh)
+        found.add(fresh)
         new = fresh
-    return seen.all()
+    return found.all()
 
 
 def crossings(sync: DataFrame, hops: DataFrame, start: DataFrame) -> DataFrame:
     """Fewest asynchronous hops to each node: ``node, crossings``. Level by level: close over
     synchronous edges, then take one hop."""
     level = closure(sync, start).select("node", F.lit(0).alias("crossings"))
-    seen, frontier = cut(level), level
-    for n in range(1, MOST_ROUNDS):
-        h = _edges(hops)
-        landed = frontier.select(F.col("node").alias("src")).join(h, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        if landed.isEmpty():
+    found, frontier, h = cut(level), level, cut(_edges(hops))
+    for n in _rounds(1):
+        landed = _cut(frontier.select(F.col("node").alias("src")).join(h, "src").select(F.col("dst").alias("node")).distinct().join(found.select("node"), "node", "left_anti"))
+        if not seen(landed, "n"):
+            drop(landed)
             break
-        wide = closure(sync, landed).select("node").join(seen.select("node"), "node", "left_anti")
+        wide = closure(sync, landed).select("node").join(found.select("node"), "node", "left_anti")
         frontier = cut(wide.withColumn("crossings", F.lit(n)))
-        seen = cut(seen.unionByName(frontier), seen)
-    return seen
+        found = cut(found.unionByName(frontier), found)
+    drop(h)
+    return found
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -150,17 +191,17 @@ def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
     of several parents in the level before the first by name. Paths follow by the parents."""
     e = cut(_edges(edges))
     frontier = cut(start.where("node IS NOT NULL").select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    seen = _Grown(frontier)
-    for n in range(1, MOST_ROUNDS):
+    found = _Grown(frontier)
+    for n in _rounds(1):
         step = frontier.select(F.col("node").alias("src")).join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        new = cut(step.join(seen.all().select("node"), "node", "left_anti").select("node", F.lit(n).alias("depth"), "parent"))
-        if new.isEmpty():
+        new = _cut(step.join(found.all().select("node"), "node", "left_anti").select("node", F.lit(n).alias("depth"), "parent"))
+        if not seen(new, "n"):
             drop(new)
             break
-        seen.add(new)
+        found.add(new)
         frontier = new
     drop(e)
-    return seen.all()
+    return found.all()
 
 
 def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,9 +211,10 @@ def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = cut(_edges(edges))
     rest = cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
     done, left = None, e
-    for n in range(MOST_ROUNDS):
-        ready = cut(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(n)))
-        if ready.isEmpty():
+    for n in _rounds():
+        ready = _cut(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(n)))
+        if not seen(ready, "n"):
+            drop(ready)
             break
         done = cut(ready if done is None else done.unionByName(ready), done)
         rest = cut(rest.join(ready, "node", "left_anti"), rest)
@@ -196,7 +238,7 @@ def cyclic(edges: DataFrame) -> DataFrame:
     keep = lambda x, c: x.join(c.withColumnRenamed("node", "src"), "src", "left_semi").join(c.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     e = cut(keep(e, core))
     found = None
-    for _ in range(MOST_ROUNDS):
+    for _ in _rounds():
         if e.isEmpty():
             break
         fwd, bwd = _greatest(e), _greatest(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -220,10 +262,10 @@ def _greatest(edges: DataFrame) -> DataFrame:
     """For each node the greatest node that reaches it, itself included: ``node, top``."""
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     state = cut(nodes.select("node", F.col("node").alias("top"), F.lit(True).alias("moved")))
-    for _ in range(MOST_ROUNDS):
+    for _ in _rounds():
         told = state.where("moved").select(F.col("node").alias("src"), "top").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.max("top").alias("t"))
-        state = cut(state.join(told, "node", "left").select("node", F.greatest("top", F.coalesce("t", "top")).alias("top"), (F.coalesce("t", "top") > F.col("top")).alias("moved")), state)
-        if state.where("moved").isEmpty():
+        state = cut(state.join(told, "node", "left").select("node", F.greatest("top", F.coalesce("t", "top")).alias("top"), (F.coalesce("t", "top") > F.col("top")).alias("moved")), state, n=F.count_if("moved"))
+        if not seen(state, "n"):
             break
     return state.select("node", "top")
 

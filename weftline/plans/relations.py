@@ -39,13 +39,15 @@ def j6(t):
     return joins.suffix_join(f.select(F.regexp_replace("file", "^([^/]+/){3}", "").alias("report")), f, "report", "file")
 
 
-@query("j7_interval", """WITH s AS (SELECT user_id, event_id AS span, ts AS lo, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hi FROM events WHERE event_type = 'signup')
+@query("j7_interval", """WITH s AS (SELECT user_id, event_id AS span, ts AS lo, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), (SELECT max(ts) FROM events)) AS hi FROM events WHERE event_type = 'signup')
  SELECT e.event_id, s.span FROM events e JOIN s ON e.user_id = s.user_id AND e.ts > s.lo AND e.ts <= s.hi""")
 def j7(t):
-    """Events within the span from one signup to the next."""
+    """Events within the span from one signup to the next; the last span stays open."""
     e = t("events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    end = F.broadcast(e.agg(F.max("at").alias("end")))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span"), F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"))
+    s = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span"), F.col("at").alias("lo"), F.lead("at").over(w).alias("next"))
+    s = s.join(end).select("user_id", "span", "lo", F.coalesce("next", "end").alias("hi"))
     return joins.interval_join(e.select("event_id", "user_id", "at"), s, ["user_id"], "at", "lo", "hi", 86_400e6).select("event_id", "span")
 
 
@@ -60,8 +62,8 @@ def j8(t):
 
 @query("j9_tail_match")
 def j9(t):
-    """Verifiers of the matrix and the tests they mean, by their last three parts."""
-    r = t("rtm_rows").select(F.explode("verifiers").alias("v")).select(F.regexp_extract(F.regexp_replace(F.trim("v"), r"\(\)$", ""), r"((?:[^.]+\.){0,2}[^.]+)$", 1).alias("ref"))
+    """Verifiers of the matrix and the tests they mean, by their longest common tail."""
+    r = t("rtm_rows").select(F.explode("verifiers").alias("v")).select(F.regexp_replace(F.trim("v"), r"\(\)$", "").alias("ref"))
     return joins.tail_match(r, t("symbols").where("is_test"), "ref", "fqn")
 
 
@@ -197,6 +199,16 @@ def d6(t):
     return sets.similar_sets(m, "feature_id", "m", 0.1)
 
 
+@query("d6_suite_classes", r"""WITH m AS (SELECT DISTINCT feature_id AS o, regexp_replace(trim(unnest(enforcers)), '\(\)$', '') AS m FROM rtm_rows), s AS (SELECT o, list_sort(list(m)) AS s FROM m WHERE m IS NOT NULL AND o IS NOT NULL GROUP BY 1)
+ SELECT o AS owner, min(o) OVER (PARTITION BY s) AS class, len(s) AS size, count(*) OVER (PARTITION BY s) AS owners FROM s""")
+def d6_classes(t):
+    """The class of each feature: those whose sets of enforcers are equal, and so similar by 1."""
+    m = t("rtm_rows").select("feature_id", F.explode("enforcers").alias("m")).select("feature_id", F.regexp_replace(F.trim("m"), r"\(\)$", "").alias("m"))
+    c = sets.set_classes(m, "feature_id", "m")
+    n = c.groupBy("class").agg(F.count(F.lit(1)).alias("owners"))
+    return c.join(n, "class").select("owner", "class", F.size("set").cast("long").alias("size"), "owners")
+
+
 @query("j31_promise_tiers", r"""WITH r AS (SELECT tier, trim(unnest(string_split(maps_to, ','))) AS r, feature_id FROM rtm_rows), c AS (SELECT tier, regexp_replace(r, '#.*$', '') AS r, feature_id FROM r)
  SELECT CASE WHEN position(':' IN r) > 1 THEN r ELSE feature_id || ':' || r END AS promise, max(tier) AS tier, count(*) AS n FROM c WHERE r <> '' GROUP BY 1""")
 def j31(t):

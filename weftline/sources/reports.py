@@ -9,10 +9,13 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import deep
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("report"))
@@ -152,20 +155,39 @@ def hunks(spark: SparkSession, path: str) -> DataFrame:
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """`git log --name-only --format=commit:%H` output: ``sha, file``. Each log is read whole."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^commit:")).alias("c")).where(F.trim("c") != "")
-    rows = whole.select(F.trim(F.split("c", "\n").getItem(0)).alias("sha"), F.explode(F.slice(F.split("c", "\n"), 2, 1_000_000)).alias("file"))
+    rows = whole.select(F.trim(F.split("c", "\n").getItem(0)).alias("sha"), F.explode(F.expr("slice(split(c, '\n'), 2, greatest(size(split(c, '\n')) - 1, 0))")).alias("file"))
     return rows.select("sha", F.trim("file").alias("file")).where("file <> ''")
 
 
 READERS = {"junit": junit, "tap": tap, "lcov": lcov, "go_cover": go_cover, "istanbul": istanbul, "coverage_py": coverage_py, "cobertura": cobertura, "clover": clover, "calls_csv": call_counts_csv, "calls_json": call_counts_json, "mutation": mutation}
 
 
+def _top(head: str) -> tuple[list[str], list[str]]:
+    """Names at the top of a JSON object, and in its first value, as far as the text goes."""
+    top: list[str] = []
+    first: list[str] = []
+    depth = 0
+    try:
+        for kind, x in deep.events(head):
+            depth += (kind in (deep.OPEN_OBJECT, deep.OPEN_LIST)) - (kind == deep.CLOSE)
+            if kind == deep.KEY and depth == 1:
+                top.append(x)
+            elif kind == deep.KEY and depth == 2 and len(top) == 1:
+                first.append(x)
+    except ValueError:  # the rest of the text is not there
+        pass
+    return top, first
+
+
 def sniff(head: str) -> str | None:
     """The format of a report by its first part, or None."""
-    s = head.lstrip("﻿ \t\r\n")
+    s = head.lstrip("\ufeff \t\r\n")
     if s.startswith("<"):
-        for name, mark in (("junit", "<testsuite"), ("clover", "clover="), ("clover", "<clover"), ("cobertura", "<coverage"), ("junit", "<testcase")):
-            if mark in s:
-                return name
+        tags = re.findall(r"<([A-Za-z_][\w.-]*(?::[\w.-]+)?)", re.sub(r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "", s))[:2]
+        if tags and tags[0] in ("testsuites", "testsuite"):
+            return "junit"
+        if tags and tags[0] == "coverage":
+            return "clover" if tags[1:] == ["project"] else "cobertura"
         return None
     if s.startswith("mode:"):
         return "go_cover"
@@ -174,29 +196,31 @@ def sniff(head: str) -> str | None:
     if re.match(r"(TAP version \d+|\d+\.\.\d+|ok\b|not ok\b)", s):
         return "tap"
     if s.startswith("{"):
-        for name, mark in (("istanbul", '"statementMap"'), ("coverage_py", '"executed_lines"'), ("calls_json", '"functions"'), ("mutation", '"mutants"')):
-            if mark in s:
-                return name
-        return None
-    if re.match(r"[^\n]*\bfunction\b[^\n]*\bcalls\b", s):
-        return "calls_csv"
-    return None
+        top, first = _top(s)
+        if {"meta", "files"} <= set(top):
+            return "coverage_py"
+        if "format" in top and re.search(r'"format"\s*:\s*"pg_stat_user_functions"', s):
+            return "calls_json"
+        if "statementMap" in first:
+            return "istanbul"
+        return "mutation" if "files" in top and '"mutants"' in s else None
+    columns = {c.strip().strip('"').lower() for c in s.split("\n", 1)[0].split(",")}
+    return "calls_csv" if {"schema", "function", "calls"} <= columns else None
 
 
 def read_report(spark: SparkSession, path: str, head: int = 1 << 20) -> tuple[str, DataFrame]:
-    """A report in whatever format its beginning shows; ValueError if it shows none."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("c")).limit(1).collect()
-    name = sniff(bytes(rows[0]["c"]).decode("utf-8", "replace")) if rows else None
-    if name is None:
-        raise ValueError(f"unknown report format: {path}")
+    """Reports of one format, which the beginning of each file shows; ValueError if it shows none or
+    if the files show several."""
+
+    def run(batches):
+        for b in batches:
+            found = [sniff(bytes(c.as_py() or b"").decode("utf-8", "replace")) or "" for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["path", "format"])
+
+    heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, head).alias("c"))
+    # No more rows than there are formats.
+    seen = {r["format"]: r["path"] for r in heads.mapInArrow(run, "path string, format string").groupBy("format").agg(F.min("path").alias("path")).collect()}
+    if len(seen) != 1 or "" in seen:
+        raise ValueError(f"unknown report format: {seen.get('', path)}" if len(seen) < 2 or "" in seen else f"reports of several formats: {sorted(seen)}")
+    name = next(iter(seen))
     return name, READERS[name](spark, path)
-
-
-def json_paths(column: Column) -> Column:
-    """Top-level keys of a JSON object; null if it is none."""
-    return F.json_object_keys(column)
-
-
-def canonical_json(text: str) -> str:
-    """JSON with sorted keys."""
-    return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False, separators=(",", ":"))

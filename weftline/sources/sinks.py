@@ -23,31 +23,58 @@ def content_hash(df: DataFrame) -> str:
     return f"{r['n']}-{r['a']}-{r['b']}"
 
 
+POINTER = "_CURRENT"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that a folder written by :func:`swap` holds; None if there is none yet."""
+    jvm, at, fs = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(at):
+        return None
+    source = fs.open(at)
+    try:
+        name = jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+    return spark.read.parquet(f"{path}/{name.strip()}")
+
+
 def write_if_changed(df: DataFrame, path: str) -> bool:
     """Write a table only if its content differs from what is there; True if written."""
-    spark = df.sparkSession
-    try:
-        if content_hash(spark.read.parquet(path)) == content_hash(df):
-            return False
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    have = current(df.sparkSession, path)
+    if have is not None and content_hash(have) == content_hash(df):
+        return False
     swap(df, path)
     return True
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a table: write beside it, then rename, so that readers see the old or the new one."""
+    """Replace a table: a version of its own beside the others, then the pointer to it in one step, so
+    that :func:`current` gives the old or the new one at any moment. The version before stays for
+    those who still read it; older ones go."""
     spark = df.sparkSession
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm = spark._jvm
-    new, at, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path, f"{fresh}.old"))
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    jvm, root, fs = _fs(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    was = current(spark, path)
+    kept = {name, POINTER, *(f.split("/")[-2] for f in (was.inputFiles() if was is not None else []))}
+    df.write.parquet(f"{path}/{name}")
+    conf = spark._jsc.hadoopConfiguration()
+    note, at = jvm.org.apache.hadoop.fs.Path(f"{path}/_{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    out = fs.create(note, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(note), fs.makeQualified(at), options)
+    for f in fs.listStatus(root):
+        if f.getPath().getName().startswith("v-") and f.getPath().getName() not in kept:
+            fs.delete(f.getPath(), True)
 
 
 class StaleVersion(ValueError):
@@ -59,11 +86,8 @@ def put(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], versio
 
     If any row is stale nothing is written and StaleVersion is raised. One writer at a time.
     """
-    try:
-        have = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    have = current(spark, path)
+    if have is None:
         have = rows.where("1 = 0")
     now = have.select(*keys, F.col(version).alias("_have"))
     stale = rows.join(now, keys, "left").where(F.col(version) != F.coalesce(F.col("_have"), F.lit(0)) + 1)
@@ -71,7 +95,7 @@ def put(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], versio
         raise StaleVersion(f"stale rows for {path}")
     merged = have.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
     swap(merged, path)
-    return spark.read.parquet(path)
+    return current(spark, path)
 
 
 def append_changed(log: DataFrame, entries: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
