@@ -10,28 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import checked_broadcast
+from weftline.functions.scale import checked_broadcast, cut
 
 
-def latest_rows(df: DataFrame, snapshot: str, key: str, values: list[str], delivery: str, loaded: str) -> DataFrame:
-    """One row per key and snapshot: of the snapshot's highest delivery the row loaded last.
+def top_deliveries(df: DataFrame, snapshot: str, delivery: str) -> DataFrame:
+    """The snapshots that are there, each with its highest delivery ``_top`` (no number is below all
+    others). One row per snapshot; their number is checked before it is sent to all tasks."""
+    top = F.max(F.coalesce(delivery, F.lit(-(2**31)))).alias("_top")
+    return checked_broadcast(df.where(F.col(snapshot).isNotNull()).groupBy(snapshot).agg(top))
+
+
+def latest_rows(df: DataFrame, top: DataFrame, snapshot: str, key: str, values: list[str], delivery: str, loaded: str) -> DataFrame:
+    """One row per key and snapshot: of the snapshot's highest delivery (``top``) the row loaded last.
 
     Rows without key or snapshot do not count. Ties in ``loaded`` take the greatest values,
     so repeated rows change nothing. Pre-aggregates before the shuffle: a key that holds a
     third of all rows shrinks to one row per map task.
     """
     rows = df.where(F.col(snapshot).isNotNull() & F.col(key).isNotNull() & (F.col(key) != ""))
-    top = df.where(F.col(snapshot).isNotNull()).groupBy(snapshot).agg(F.max(F.coalesce(delivery, F.lit(-(2**31)))).alias("_top"))
-    rows = rows.join(checked_broadcast(top), snapshot).where(F.coalesce(delivery, F.lit(-(2**31))) == F.col("_top"))
+    rows = rows.join(top, snapshot).where(F.coalesce(delivery, F.lit(-(2**31))) == F.col("_top"))
     last = F.max(F.struct(F.col(loaded).alias("_loaded"), *values)).alias("_last")
     return rows.groupBy(key, snapshot).agg(last).select(key, snapshot, *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
-def present_snapshots(df: DataFrame, snapshot: str) -> DataFrame:
-    """The snapshots that are there, each with its nearest lower and higher one. One row per
-    snapshot; their number does not grow with the data, so a single window task is enough."""
+def present_snapshots(top: DataFrame, snapshot: str) -> DataFrame:
+    """Each snapshot with its nearest lower and higher one. One row per snapshot, as of
+    :func:`top_deliveries`; their number does not grow with the data, so one window task is enough."""
     w = Window.partitionBy(F.lit(0)).orderBy(snapshot)
-    return df.where(F.col(snapshot).isNotNull()).select(snapshot).distinct().select(snapshot, F.lag(snapshot).over(w).alias("_prev"), F.lead(snapshot).over(w).alias("_next"))
+    return top.where(F.col(snapshot).isNotNull()).select(snapshot).distinct().select(snapshot, F.lag(snapshot).over(w).alias("_prev"), F.lead(snapshot).over(w).alias("_next"))
 
 
 def snapshot_changes(rows: DataFrame, present: DataFrame, snapshot: str, key: str, values: list[str]) -> DataFrame:
@@ -75,5 +81,7 @@ def plain_value(c: Column) -> Column:
 def promise_changes(audit: DataFrame) -> DataFrame:
     """Changes of ``class`` and ``signals.demonstrated.value`` per promise, with old and new values."""
     rows = audit.select("snapshot_no", "delivery", "loaded_at", plain_key(F.col("promise")).alias("promise"), plain_value(F.col("class")).alias("class"), plain_value(F.col("signals.demonstrated.value")).alias("demonstrated"))
-    last = latest_rows(rows, "snapshot_no", "promise", ["class", "demonstrated"], "delivery", "loaded_at")
-    return snapshot_changes(last, present_snapshots(audit, "snapshot_no"), "snapshot_no", "promise", ["class", "demonstrated"])
+    top = top_deliveries(audit, "snapshot_no", "delivery")
+    # Written once, so that finding the ranges reads the keys alone.
+    last = cut(latest_rows(rows, top, "snapshot_no", "promise", ["class", "demonstrated"], "delivery", "loaded_at"))
+    return snapshot_changes(last, present_snapshots(top, "snapshot_no"), "snapshot_no", "promise", ["class", "demonstrated"])
