@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scale import cut, drop, seen
@@ -279,3 +279,94 @@ def between(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
     """Nodes on paths from ``start`` to ``end``: forward closure meets backward closure."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return closure(edges, start).select("node").join(closure(back, end).select("node"), "node", "left_semi")
+
+
+def coloaded(imports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs (a, b)`` that some module loads both, itself or by what it imports:
+    ``a, b``. ``imports (src, dst)``: src imports dst; a module loads itself. The walk goes up from
+    the modules of the pairs only."""
+    want = pairs.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
+    seeds = want.select(F.col("a").alias("node")).unionByName(want.select(F.col("b").alias("node"))).distinct().withColumn("of", F.col("node"))
+    up = imports.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    over = cut(pair_closure(up, seeds, "of"))
+    x, y = over.select(F.col("of").alias("a"), "node"), over.select(F.col("of").alias("b"), "node")
+    return want.join(x, "a").join(y, ["b", "node"]).select("a", "b").distinct()
+
+
+def certainty(sure: DataFrame, unsure: DataFrame, seeds: DataFrame, carry: str) -> DataFrame:
+    """Memberships and whether they are certain: all pairs ``node, carry`` that flow along ``sure`` edges
+    alone are, those that need an ``unsure`` one are not."""
+    yes = cut(pair_closure(sure, seeds, carry))
+    every = pair_closure(sure.select("src", "dst").unionByName(unsure.select("src", "dst")), seeds, carry)
+    return every.join(yes.withColumn("c", F.lit(True)), ["node", carry], "left").select("node", carry, F.coalesce("c", F.lit(False)).alias("certain"))
+
+
+#: Kinds of edges that a path may use, in the order they are tried.
+MODES = (("sync", ("sync",)), ("async", ("sync", "async")), ("unknown", ("sync", "unknown")), ("both", ("sync", "async", "unknown")))
+
+
+def paths_by_mode(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A shortest path for each of ``pairs (root, target)``: ``root, target, mode, hops, path,
+    unknown_from, reading``.
+
+    ``edges (src, dst, kind)`` with kind sync, async or unknown. Modes are tried in order; the first
+    that reaches wins even if another is shorter. Of several shortest paths the first by the names
+    on it. ``unknown_from``: the first unknown hop; ``reading``: complete, unknown_from_hop or
+    unreached. A root reaches itself by no hop. Only roots with targets left go into the next mode.
+    """
+    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL AND kind IS NOT NULL").groupBy("src", "dst").agg(F.collect_set("kind").alias("kinds")))
+    left = cut(pairs.where("root IS NOT NULL AND target IS NOT NULL").select("root", "target").distinct())
+    out = None
+    for mode, kinds in MODES:
+        use = F.filter("kinds", lambda k: k.isin(*kinds))
+        # A resolved hop where there is one; an edge known in several ways is the surest of them.
+        step_kind = F.when(F.array_contains(use, "sync"), "sync").when(F.array_contains(use, "async"), "async").otherwise("unknown")
+        own = cut(e.where(F.size(use) > 0).select("src", "dst", step_kind.alias("kind")))
+        frontier = cut(left.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path"), F.array().cast("array<string>").alias("by")))
+        found = _Grown(frontier)
+        for _ in _rounds():
+            step = frontier.join(own.withColumnRenamed("src", "node"), "node").select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("by", F.array("kind")).alias("by"))
+            best = step.groupBy("root", "node").agg(F.min(F.struct("path", "by")).alias("m")).select("root", "node", "m.path", "m.by")
+            fresh = _cut(best.join(found.all().select("root", "node"), ["root", "node"], "left_anti"))
+            if not seen(fresh, "n"):
+                drop(fresh)
+                break
+            found.add(fresh)
+            frontier = fresh
+        got = cut(left.join(found.all().withColumnRenamed("node", "target"), ["root", "target"]).withColumn("mode", F.lit(mode)))
+        out = got if out is None else out.unionByName(got)
+        left = _cut(left.join(got.select("root", "target"), ["root", "target"], "left_anti"))
+        drop(own)
+        if not seen(left, "n"):
+            break
+    none = left.select("root", "target", F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("array<string>").alias("by"), F.lit(None).cast("string").alias("mode"))
+    at = F.nullif(F.array_position("by", "unknown"), F.lit(0)).cast("int")
+    reading = F.when(F.col("path").isNull(), "unreached").when(at.isNotNull(), "unknown_from_hop").otherwise("complete")
+    return out.unionByName(none).select("root", "target", "mode", F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("hops"), F.array_join("path", " > ").alias("path"), at.alias("unknown_from"), reading.alias("reading"))
+
+
+def flows(edges: DataFrame, roots: DataFrame, features: DataFrame, most: int = 3) -> DataFrame:
+    """One step per feature that a root reaches: ``root, feature, nodes, via``, the nodes of the feature
+    that are reached and the first ``most`` of them by name. ``features (node, feature)``."""
+    reached = pair_closure(edges, roots.where("node IS NOT NULL").select("node", F.col("node").alias("root")).distinct(), "root")
+    at = reached.join(features.where("feature IS NOT NULL").select("node", "feature").distinct(), "node")
+    # Only the first few of a group are kept at any moment, so a large one is no large row.
+    w = Window.partitionBy("root", "feature").orderBy("node")
+    first = at.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).groupBy("root", "feature").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("via"))
+    return at.groupBy("root", "feature").agg(F.count(F.lit(1)).alias("nodes")).join(first, ["root", "feature"])
+
+
+def walks(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """Walks that take the one step from each node until there is none or a node comes again:
+    ``start, hops, last, ended`` (`end` or `loop`). ``steps (src, dst)`` has one row per ``src``."""
+    s = cut(steps.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst")))
+    now = _cut(start.where("node IS NOT NULL").select(F.col("node").alias("start"), F.col("node").alias("last"), F.array("node").alias("path")).distinct())
+    done = None
+    for _ in _rounds():
+        if not seen(now, "n"):
+            break
+        go = cut(now.join(s.withColumnRenamed("src", "last"), "last", "left").withColumn("ended", F.when(F.col("dst").isNull(), "end").when(F.array_contains("path", F.col("dst")), "loop")), now)
+        over = go.where("ended IS NOT NULL").select("start", (F.size("path") - 1).alias("hops"), "last", "ended")
+        done = over if done is None else done.unionByName(over)
+        now = _cut(go.where("ended IS NULL").select("start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")))
+    return done if done is not None else now.select("start", F.lit(0).alias("hops"), "last", F.lit("end").alias("ended"))

@@ -200,3 +200,50 @@ def token_match(items: DataFrame, targets: DataFrame, item: str, item_tokens: st
     score = shared.groupBy("item", "target").agg((F.sum(1 / F.col("df")) / F.max("n")).alias("score"))
     best = score.groupBy("item").agg(F.max("score").alias("score"), F.min_by("target", F.struct(-F.col("score"), F.col("target"))).alias("target"))
     return best.where(F.col("score") >= least - 1e-9).select("item", "target", (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
+
+
+def resolve_ids(ids: DataFrame, known: DataFrame, prefixes: DataFrame, id: str = "id") -> DataFrame:
+    """Ids as the known ids they stand for: ``id, resolved``, null where none does.
+
+    An id that is known stands for itself, else for the known id that the first prefix makes of it.
+    ``prefixes (prefix, rank)`` is a short list: each id is written once for each, then joined.
+    """
+    one = ids.where(F.col(id).isNotNull()).select(F.col(id).alias("id")).distinct()
+    ways = one.join(checked_broadcast(prefixes.select("prefix", "rank")), F.lit(True)).select("id", F.concat("prefix", "id").alias("k"), "rank")
+    ways = ways.unionByName(one.select("id", F.col("id").alias("k"), F.lit(-1).alias("rank")))
+    hit = ways.join(known.select(F.col(id).alias("k")).distinct(), "k", "left_semi").groupBy("id").agg(F.min_by("k", "rank").alias("resolved"))
+    return one.join(hit, "id", "left").select("id", "resolved")
+
+
+def policy_test(subjects: DataFrame, enabled: DataFrame, policies: DataFrame, members: DataFrame) -> DataFrame:
+    """Whether each of ``subjects (object, op, role)`` is let through: ``state`` allowed, unknown or denied.
+
+    An object that is not in ``enabled (object)`` lets all through. Else a policy of ``policies
+    (object, op, role, restrictive)`` must name the op (null: every op) and the role, the role
+    ``public`` or one the role is a member of; restrictive ones never let through. ``members
+    (role, of, certain)``: where only an uncertain membership leads to a policy, the state is unknown.
+    """
+    s = subjects.where("object IS NOT NULL AND role IS NOT NULL").select("object", "op", "role").distinct()
+    own = s.select("object", "op", "role", F.inline(F.array(F.struct(F.col("role").alias("as"), F.lit(True).alias("certain")), F.struct(F.lit("public").alias("as"), F.lit(True).alias("certain")))))
+    led = s.join(members.groupBy("role", F.col("of").alias("as")).agg(F.bool_or("certain").alias("certain")), "role").select("object", "op", "role", "as", "certain")
+    p = policies.where("NOT coalesce(restrictive, false)").select("object", F.col("op").alias("for_op"), F.col("role").alias("as")).distinct()
+    hit = own.unionByName(led).join(p, ["object", "as"]).where("for_op IS NULL OR for_op = op").groupBy("object", "op", "role").agg(F.bool_or("certain").alias("sure"))
+    hit = hit.withColumn("k", F.coalesce("op", F.lit(""))).drop("op")
+    on = enabled.select("object").distinct().withColumn("on", F.lit(True))
+    state = F.when(F.col("on").isNull() | F.col("sure"), "allowed").when(F.col("sure").isNotNull(), "unknown").otherwise("denied")
+    return s.withColumn("k", F.coalesce("op", F.lit(""))).join(on, "object", "left").join(hit, ["object", "role", "k"], "left").select("object", "op", "role", state.alias("state"))
+
+
+def killers(breaks: DataFrame, verifiers: DataFrame) -> DataFrame:
+    """Which verifiers of a promise fail when its enforcer is broken: ``promise, verifier, killed``.
+
+    ``breaks (promise, failed)``: cases that failed in the break's run; ``verifiers (promise,
+    verifier)``. A verifier means the case that :func:`tail_match` finds among all failed ones;
+    ambiguous ones mean none, and their state is null.
+    """
+    v = verifiers.where("promise IS NOT NULL AND verifier IS NOT NULL").select("promise", "verifier").distinct().withColumn("ref", dotted(F.col("verifier")))
+    met = tail_match(v, breaks, "ref", "failed").select("ref", "case", "candidates")
+    failed = breaks.where("failed IS NOT NULL").select("promise", dotted(F.col("failed")).alias("case")).distinct().withColumn("hit", F.lit(True))
+    j = v.join(met, "ref", "left").join(failed, ["promise", "case"], "left")
+    killed = F.when(F.col("hit"), True).when(F.col("candidates") > 1, F.lit(None)).otherwise(False)
+    return j.select("promise", "verifier", killed.alias("killed"))

@@ -6,7 +6,7 @@ import importlib
 
 from weftline.plans import problems, registry
 
-MODULES = ("scalars", "relations", "rollups", "graphs", "composites", "more")
+MODULES = ("scalars", "relations", "rollups", "graphs", "composites", "more", "further")
 
 
 def _load() -> None:

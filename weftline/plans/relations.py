@@ -39,15 +39,13 @@ def j6(t):
     return joins.suffix_join(f.select(F.regexp_replace("file", "^([^/]+/){3}", "").alias("report")), f, "report", "file")
 
 
-@query("j7_interval", """WITH s AS (SELECT user_id, event_id AS span, ts AS lo, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), (SELECT max(ts) FROM events)) AS hi FROM events WHERE event_type = 'signup')
+@query("j7_interval", """WITH s AS (SELECT user_id, event_id AS span, ts AS lo, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hi FROM events WHERE event_type = 'signup')
  SELECT e.event_id, s.span FROM events e JOIN s ON e.user_id = s.user_id AND e.ts > s.lo AND e.ts <= s.hi""")
 def j7(t):
-    """Events within the span from one signup to the next; the last span stays open."""
+    """Events within the span from one signup to the next; a signup without a next one opens no span."""
     e = t("events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    end = F.broadcast(e.agg(F.max("at").alias("end")))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span"), F.col("at").alias("lo"), F.lead("at").over(w).alias("next"))
-    s = s.join(end).select("user_id", "span", "lo", F.coalesce("next", "end").alias("hi"))
+    s = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span"), F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"))
     return joins.interval_join(e.select("event_id", "user_id", "at"), s, ["user_id"], "at", "lo", "hi", 86_400e6).select("event_id", "span")
 
 
