@@ -93,3 +93,14 @@ def test_checked_broadcast(spark):
     df = spark.range(10)
     assert scale.small_or_none(df, 9) is None and len(scale.small_or_none(df, 10)) == 10
     assert scale.checked_broadcast(df, 9) is df
+
+
+def test_cut_tables_are_counted_and_swept(spark):
+    import os
+
+    t = scale.cut(spark.range(10), None, n=F.count(F.lit(1)), odd=F.count_if(F.col("id") % 2 == 1))
+    assert scale.seen(t, "n") == 10 and scale.seen(t, "odd") == 5 and scale.seen(scale.cut(spark.range(0), None, n=F.count(F.lit(1))), "n") == 0
+    u = scale.cut(t.where("id > 3"), t)
+    at = t._weftline_path.removeprefix("file:")
+    assert not os.path.exists(at) and u.count() == 6
+    assert scale.sweep(spark) >= 2 and not os.path.exists(u._weftline_path.removeprefix("file:")) and scale.sweep(spark) == 0

@@ -45,6 +45,7 @@ def cut(df: DataFrame, old: DataFrame | None = None, **seen: Column) -> DataFram
     # The tasks that write count, each of them once, so a repeated stage counts no row twice.
     watch = Observation() if seen else None
     (df.observe(watch, *(c.alias(n) for n, c in seen.items())) if seen else df).write.parquet(path)
+    _WRITTEN.add(path)
     out = spark.read.schema(df.schema).parquet(path).hint("merge")
     out._weftline_path = path
     out._weftline_seen = watch.get if watch else {}
@@ -53,6 +54,10 @@ def cut(df: DataFrame, old: DataFrame | None = None, **seen: Column) -> DataFram
     return out
 
 
+#: Tables written by :func:`cut` that are still there.
+_WRITTEN: set[str] = set()
+
+
 def seen(df: DataFrame, name: str):
     """An aggregate that :func:`cut` took of the table it wrote; 0 if there were no rows."""
     return df._weftline_seen.get(name) or 0
@@ -62,9 +67,22 @@ def drop(df: DataFrame) -> None:
     """Delete the files of a :func:`cut` table that is not needed any more."""
     path = getattr(df, "_weftline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all that :func:`cut` has written in this process and not dropped; how many tables. For
+    callers who have written their results: a result that is still to be computed reads them."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def small_or_none(df: DataFrame, most: int = SMALL_ROWS) -> list | None:

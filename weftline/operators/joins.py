@@ -192,12 +192,19 @@ def asof_backward(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, v
 
 def token_match(items: DataFrame, targets: DataFrame, item: str, item_tokens: str, target: str, target_tokens: str, least: float = 0.5) -> DataFrame:
     """Each item with the target whose tokens it shares best: the sum of ``1 / document frequency``
-    over shared tokens by the number of the item's tokens; ties go to the first target by name."""
+    over shared tokens by the number of the item's tokens; ties go to the first target by name.
+
+    A sum of n shares reaches ``least * n`` only if one of them reaches ``least``, so pairs come from
+    tokens of at most ``1 / least`` targets; frequent tokens only add to pairs that are there.
+    """
     it = items.select(F.col(item).alias("item"), F.array_distinct(item_tokens).alias("tk")).distinct()
     tt = targets.select(F.col(target).alias("target"), F.explode(F.array_distinct(target_tokens)).alias("t")).distinct()
     df = tt.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    shared = it.select("item", F.size("tk").alias("n"), F.explode("tk").alias("t")).join(df, "t").join(tt, "t")
-    score = shared.groupBy("item", "target").agg((F.sum(1 / F.col("df")) / F.max("n")).alias("score"))
+    flat = it.select("item", F.size("tk").alias("n"), F.explode("tk").alias("t")).join(df, "t")
+    rare = df.where(F.col("df") * least <= 1 + 1e-9).select("t")
+    pairs = flat.select("item", "t").join(rare, "t").join(tt, "t").select("item", "target").distinct()
+    shared = pairs.join(flat, "item").join(tt, ["target", "t"])
+    score = shared.groupBy("item", "n", "target").agg((F.sum(1 / F.col("df")) / F.col("n")).alias("score"))
     best = score.groupBy("item").agg(F.max("score").alias("score"), F.min_by("target", F.struct(-F.col("score"), F.col("target"))).alias("target"))
     return best.where(F.col("score") >= least - 1e-9).select("item", "target", (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
 

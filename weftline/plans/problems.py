@@ -163,6 +163,11 @@ lost AS (SELECT r.graph, r.source, r.node_id, '' AS root_id, CASE WHEN o.node_id
 SQL: dict[str, str] = {
     "p2_found": _P2 + "SELECT graph, source, node_id, root_id, depth FROM tree UNION ALL SELECT * FROM lost",
     "p2_paths": _P2 + "SELECT graph, source, node_id, root_id, depth, path FROM tree UNION ALL SELECT graph, source, node_id, root_id, depth, '' FROM lost",
+    "p2_below": _P2 + """, d AS (
+  SELECT graph, source, node_id, node_id AS descendant_id, 0 AS below FROM tree
+  UNION ALL
+  SELECT d.graph, d.source, d.node_id, n.node_id, d.below + 1 FROM d JOIN nodes n ON n.graph = d.graph AND n.source = d.source AND n.up = d.descendant_id)
+SELECT graph, source, node_id, descendant_id, below FROM d WHERE below > 0""",
     "p3_found": _P3 + "SELECT snapshot_no, promise, change FROM j",
     "p3_values": _P3 + "SELECT * FROM j",
     "p4_found": _P4 + "SELECT * FROM f",
