@@ -91,3 +91,22 @@ def test_coloaded_and_certainty(spark):
     edges = lambda *e: frame(spark, list(e), "src string, dst string")
     got = {r["node"]: r["certain"] for r in graph.certainty(edges(("r", "g")), edges(("g", "h"), ("h", "g")), seeds, "role").collect()}
     assert got == {"r": True, "g": True, "h": False}
+
+
+def test_dependencies(spark):
+    import json
+
+    from weftline.plans import further
+
+    rows = [(1, "a", ["b", "gone"]), (2, "b", ["c"]), (3, "c", "a"), (4, "d", ["a"]), (5, None, ["a"]), (6, "e", ["e"])]
+    feats = frame(spark, [(i, f, json.dumps({"DependsOn": d})) for i, f, d in rows], "manifest_id long, feature_id string, body string")
+    got = sorted(map(tuple, further.q12_dependencies({"features": feats}.get).collect()))
+    assert got == [("DEPENDS_ON_CYCLE", x) for x in "abce"] + [("DEPENDS_ON_MISSING", "a > gone")]
+
+
+def test_first_of(spark):
+    from weftline.operators import aggregates
+
+    df = frame(spark, [("k", f"v{i % 40:02}") for i in range(100)] + [("one", "x"), ("none", None), (None, "y")], "key string, v string")
+    got = {r["key"]: tuple(r)[1:] for r in aggregates.first_of(df, ["key"], "v", 3, "head").collect()}
+    assert got == {"k": ("v00,v01,v02", 40, 37), "one": ("x", 1, 0), None: ("y", 1, 0)}

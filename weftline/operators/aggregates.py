@@ -108,6 +108,20 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+#: Groups in which the first of a key are found before they are brought together.
+SPREAD = 32
+
+
+def first_of(df: DataFrame, keys: list[str], value: str, k: int, name: str) -> DataFrame:
+    """The first ``k`` distinct values of each key, sorted and joined by commas, and how many there are:
+    ``keys, name, n, truncated``. Two levels, so a hot key is no single task and no large row."""
+    one = df.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_g", F.pmod(F.xxhash64(value), F.lit(SPREAD)))
+    near = F.row_number().over(Window.partitionBy(*keys, "_g").orderBy(value))
+    few = one.withColumn("_r", near).groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("_r") <= k, F.col(value))).alias("v"))
+    out = few.groupBy(*keys).agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("v"))), 1, k).alias("v"))
+    return out.select(*keys, F.array_join("v", ",").alias(name), "n", F.greatest(F.col("n") - k, F.lit(0)).alias("truncated"))
+
+
 def cochange(items: DataFrame, commit: str, item: str, most: int = 50, least_shared: int = 2, least_score: float = 0.25) -> DataFrame:
     """Pairs of items changed together: ``a, b, shared, score``, each shared commit adding 1 / items.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scale import checked_broadcast
+from weftline.functions.scale import checked_broadcast, small_or_none
 from weftline.functions.text import dotted, wild_segments
 
 
@@ -213,11 +213,14 @@ def resolve_ids(ids: DataFrame, known: DataFrame, prefixes: DataFrame, id: str =
     """Ids as the known ids they stand for: ``id, resolved``, null where none does.
 
     An id that is known stands for itself, else for the known id that the first prefix makes of it.
-    ``prefixes (prefix, rank)`` is a short list: each id is written once for each, then joined.
+    ``prefixes (prefix, rank)`` is a short list (checked): each id is written once for each, then joined.
     """
+    known_prefixes = small_or_none(prefixes.select("prefix", "rank"), 1000)
+    if known_prefixes is None:
+        raise ValueError("more than 1000 prefixes")
+    ways = F.array(*(F.struct(F.lit(r["prefix"]).alias("prefix"), F.lit(r["rank"]).cast("int").alias("rank")) for r in [*known_prefixes, {"prefix": "", "rank": -1}]))
     one = ids.where(F.col(id).isNotNull()).select(F.col(id).alias("id")).distinct()
-    ways = one.join(checked_broadcast(prefixes.select("prefix", "rank")), F.lit(True)).select("id", F.concat("prefix", "id").alias("k"), "rank")
-    ways = ways.unionByName(one.select("id", F.col("id").alias("k"), F.lit(-1).alias("rank")))
+    ways = one.select("id", F.inline(ways)).select("id", F.concat("prefix", "id").alias("k"), "rank")
     hit = ways.join(known.select(F.col(id).alias("k")).distinct(), "k", "left_semi").groupBy("id").agg(F.min_by("k", "rank").alias("resolved"))
     return one.join(hit, "id", "left").select("id", "resolved")
 

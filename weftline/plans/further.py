@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.functions import numbers
 from weftline.functions.scale import cut
-from weftline.operators import graph, hierarchy, joins
+from weftline.operators import aggregates, graph, hierarchy, joins, nested
 from weftline.operators.orphans import rtm_references, trimmed
 from weftline.plans.graphs import _E, _edges, _start
 from weftline.plans.registry import query
@@ -170,3 +171,101 @@ def a25(t):
     e = _edges(t).where("src <> dst").join(end("src"), "src").join(end("dst"), "dst")
     within = lambda a, b: (F.col(f"{a}_root") == F.col(f"{b}_root")) & (F.col(f"{a}_tree_pre") > F.col(f"{b}_tree_pre")) & (F.col(f"{a}_tree_pre") < F.col(f"{b}_tree_pre") + F.col(f"{b}_subtree"))
     return e.where(~F.coalesce(within("src", "dst"), F.lit(False)) & ~F.coalesce(within("dst", "src"), F.lit(False))).select("src", "dst", "kind")
+
+
+@query("o4_first_five", "SELECT source, array_to_string(list_sort(list(id))[1:5], ',') AS head, count(*) AS n, greatest(count(*) - 5, 0) AS truncated FROM (SELECT DISTINCT source, id FROM catalogue_nodes WHERE id IS NOT NULL) GROUP BY 1")
+def o4(t):
+    return aggregates.first_of(t("catalogue_nodes"), ["source"], "id", 5, "head")
+
+
+@query("w5_from_to", """WITH p AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
+ SELECT user_id, arg_max(was, (ts, event_id)) AS from_type, arg_max(event_type, (ts, event_id)) AS to_type, count(*) AS moves FROM p WHERE was IS NOT NULL AND was <> event_type GROUP BY 1""")
+def w5(t):
+    """The last move of each user from one kind of event to another, and how many there were."""
+    was = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    moves = t("events").withColumn("was", was).where("was <> event_type")
+    last = F.max(F.struct("ts", "event_id", "was", "event_type")).alias("m")
+    return moves.groupBy("user_id").agg(last, F.count(F.lit(1)).alias("moves")).select("user_id", F.col("m.was").alias("from_type"), F.col("m.event_type").alias("to_type"), "moves")
+
+
+@query("a28_single_actor", "SELECT o_custkey FROM orders WHERE trim(o_orderpriority) <> '' GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1 AND bool_or(o_orderstatus = 'F')")
+def a28(t):
+    """Units all of whose moves one actor made, a decisive one among them: customers, priorities and statuses stand for units, actors and moves."""
+    g = t("orders").where("trim(o_orderpriority) <> ''").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("n"), F.bool_or(F.col("o_orderstatus") == "F").alias("m"))
+    return g.where("n = 1 AND m").select("o_custkey")
+
+
+@query("a18_four_ratios", "SELECT lang, " + ", ".join(f"floor(count(*) FILTER ({c})::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS {n}" for n, c in (("attributed", "feature IS NOT NULL"), ("measured", "end_line IS NOT NULL"), ("living", "deleted_at IS NULL"), ("tests", "is_test"))) + " FROM symbols GROUP BY 1")
+def a18(t):
+    s = t("symbols")
+    share = lambda c: numbers.ratio(F.count_if(c), F.count(F.lit(1)))
+    return s.groupBy("lang").agg(share(F.col("feature").isNotNull()).alias("attributed"), share(F.col("end_line").isNotNull()).alias("measured"), share(F.col("deleted_at").isNull()).alias("living"), share(F.col("is_test")).alias("tests"))
+
+
+@query("a11_leaf_floors", """WITH s AS (SELECT DISTINCT file, fqn, feature, line, coalesce(end_line, line) AS hi, end_line IS NOT NULL AS known FROM symbols WHERE feature IS NOT NULL AND NOT is_test AND file IS NOT NULL AND line IS NOT NULL),
+ leaf AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s i WHERE i.file = s.file AND i.line >= s.line AND i.hi <= s.hi AND (i.line > s.line OR i.hi < s.hi)))
+ SELECT feature, count(*) AS n, floor(100.0 * count(*) FILTER (known) / count(*) * 10 + 0.5) / 10 AS pct FROM leaf GROUP BY 1 HAVING 100.0 * count(*) FILTER (known) / count(*) < 90""")
+def a11(t):
+    """Features whose leaf symbols, those that enclose no other, fall below a floor."""
+    s = t("symbols").where("feature IS NOT NULL AND NOT is_test AND file IS NOT NULL AND line IS NOT NULL").select("file", "fqn", "feature", "line", F.coalesce("end_line", "line").alias("hi"), F.col("end_line").isNotNull().alias("known")).distinct()
+    span = s.select("file", F.col("line").alias("lo2"), F.col("hi").alias("hi2")).distinct()
+    outer = joins.overlap_join(s.select("file", "line", "hi").distinct(), span, ["file"], "line", "hi", "lo2", "hi2").where("lo2 >= line AND hi2 <= hi AND (lo2 > line OR hi2 < hi)").select("file", "line", "hi").distinct()
+    g = s.join(outer, ["file", "line", "hi"], "left_anti").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if("known").alias("k"))
+    pct = F.lit(100.0) * F.col("k") / F.col("n")
+    return g.where(pct < 90).select("feature", "n", numbers.round_half(pct, 1).alias("pct"))
+
+
+@query("j18_moved_text", """WITH p AS (SELECT feature || ':' || inv AS promise, max(statement) AS statement, bool_or(deleted_at IS NULL) AS lives FROM invariants WHERE feature IS NOT NULL AND inv IS NOT NULL GROUP BY 1),
+ w AS (SELECT statement, count(*) AS k, min(promise) AS now FROM p WHERE lives AND statement IS NOT NULL GROUP BY 1)
+ SELECT promise, CASE WHEN k = 1 THEN 'moved' WHEN k > 1 THEN 'ambiguous' ELSE 'removed' END AS reason, CASE WHEN k = 1 THEN now END AS now FROM p LEFT JOIN w USING (statement) WHERE NOT lives""")
+def j18(t):
+    """Promises that went: moved if exactly one living promise has their text."""
+    p = t("invariants").where("feature IS NOT NULL AND inv IS NOT NULL").groupBy(F.concat("feature", F.lit(":"), "inv").alias("promise")).agg(F.max("statement").alias("statement"), F.bool_or(F.col("deleted_at").isNull()).alias("lives"))
+    w = p.where("lives AND statement IS NOT NULL").groupBy("statement").agg(F.count(F.lit(1)).alias("k"), F.min("promise").alias("now"))
+    k = F.col("k")
+    return p.where("NOT lives").join(w, "statement", "left").select("promise", F.when(k == 1, "moved").when(k > 1, "ambiguous").otherwise("removed").alias("reason"), F.when(k == 1, F.col("now")).alias("now"))
+
+
+@query("q12_references", _MATRIX + """, c AS (SELECT fqn, bool_or(is_test) AS test, bool_or(NOT is_test) AS code FROM symbols GROUP BY 1), n AS (SELECT DISTINCT source, trim(id) AS id, trim(parent) AS parent FROM catalogue_nodes WHERE trim(id) <> '')
+ SELECT DISTINCT 'UNKNOWN_PROMISE' AS code, promise AS subject FROM p WHERE promise NOT IN (SELECT promise FROM i)
+ UNION SELECT 'PROMISE_WITHOUT_ENFORCER', promise FROM i WHERE promise NOT IN (SELECT promise FROM pe) UNION SELECT 'PROMISE_WITHOUT_VERIFIER', promise FROM i WHERE promise NOT IN (SELECT promise FROM pv)
+ UNION SELECT 'ENFORCER_IS_TEST', x FROM e JOIN c ON c.fqn = x WHERE test AND NOT code UNION SELECT 'VERIFIER_IS_CODE', x FROM v JOIN c ON c.fqn = x WHERE code AND NOT test
+ UNION SELECT 'UNKNOWN_SYMBOL', x FROM (SELECT x FROM e UNION SELECT x FROM v) WHERE x <> '' AND x NOT IN (SELECT fqn FROM c)
+ UNION SELECT 'FEATURE_WITHOUT_MANIFEST', feature FROM invariants WHERE feature IS NOT NULL AND feature NOT IN (SELECT feature_id FROM features WHERE feature_id IS NOT NULL)
+ UNION SELECT 'PARENT_MISSING', source || '/' || id FROM n WHERE parent <> '' AND NOT EXISTS (SELECT 1 FROM n o WHERE o.source = n.source AND o.id = n.parent) UNION SELECT 'OWN_PARENT', source || '/' || id FROM n WHERE id = parent""")
+def q12(t):
+    """Findings of nine rules on references, each once: what is referred to is not there or of the wrong kind."""
+    refs = rtm_references(t("rtm_rows")).select("field", "ref_key").distinct()
+    of = lambda *fields: refs.where(F.col("field").isin(*fields)).select(F.col("ref_key").alias("subject")).distinct()
+    _, pe, pv = _matrix(t)
+    have = _promises(t).select(F.col("promise").alias("subject"))
+    named = lambda df: df.select(F.col("promise").alias("subject"))
+    c = t("symbols").groupBy(F.col("fqn").alias("subject")).agg(F.bool_or("is_test").alias("test"), F.bool_or(~F.col("is_test")).alias("code"))
+    n = t("catalogue_nodes").select("source", F.trim("id").alias("id"), F.trim("parent").alias("parent")).where("id <> ''").distinct()
+    there = n.select("source", F.col("id").alias("parent")).distinct()
+    node = F.concat("source", F.lit("/"), "id").alias("subject")
+    found = {
+        "UNKNOWN_PROMISE": of("maps_to", "invariant_id").join(have, "subject", "left_anti"),
+        "PROMISE_WITHOUT_ENFORCER": have.join(named(pe), "subject", "left_anti"),
+        "PROMISE_WITHOUT_VERIFIER": have.join(named(pv), "subject", "left_anti"),
+        "ENFORCER_IS_TEST": of("enforcers").join(c.where("test AND NOT code"), "subject", "left_semi"),
+        "VERIFIER_IS_CODE": of("verifiers").join(c.where("code AND NOT test"), "subject", "left_semi"),
+        "UNKNOWN_SYMBOL": of("enforcers", "verifiers").join(c, "subject", "left_anti"),
+        "FEATURE_WITHOUT_MANIFEST": t("invariants").where("feature IS NOT NULL").select(F.col("feature").alias("subject")).join(t("features").select(F.col("feature_id").alias("subject")), "subject", "left_anti"),
+        "PARENT_MISSING": n.where("parent <> ''").join(there, ["source", "parent"], "left_anti").select(node),
+        "OWN_PARENT": n.where("id = parent").select(node),
+    }
+    out = None
+    for code, rows in found.items():
+        rows = rows.where("subject IS NOT NULL").select(F.lit(code).alias("code"), "subject")
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
+@query("q12_dependencies")
+def q12_dependencies(t):
+    """Dependencies of manifests that do not exist, and features that depend on themselves in a circle."""
+    own = t("features").where("feature_id IS NOT NULL").select("manifest_id", F.col("feature_id").alias("src")).distinct()
+    e = nested.manifest_table(t("features"), "depends_on").join(own, "manifest_id").select("src", F.trim("text").alias("dst")).where("dst <> ''").distinct()
+    missing = e.join(own.select(F.col("src").alias("dst")), "dst", "left_anti").select(F.lit("DEPENDS_ON_MISSING").alias("code"), F.concat("src", F.lit(" > "), "dst").alias("subject"))
+    return missing.unionByName(graph.cyclic(e).select(F.lit("DEPENDS_ON_CYCLE").alias("code"), F.col("node").alias("subject")))

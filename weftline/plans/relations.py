@@ -153,11 +153,11 @@ def j28(t):
     return joins.fallback_join(t("orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], own, wide, ["o_custkey"], "v").groupBy("basis").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("latest"))
 
 
-@query("j32_neighbour_tests", r"""WITH f AS (SELECT DISTINCT file, regexp_replace(regexp_replace(file, '^(src|tests)/', ''), '/[^/]*$', '') AS dir, regexp_replace(regexp_replace(regexp_replace(file, '^.*/', ''), '\.[a-z]+$', ''), '^test_', '') AS stem, starts_with(file, 'tests/') AS test FROM symbols)
+@query("j32_neighbour_tests", r"""WITH f AS (SELECT DISTINCT file, regexp_replace(regexp_replace(regexp_replace(file, '^(src|tests)/', ''), '/[^/]*$', ''), '/__tests__$', '') AS dir, regexp_replace(regexp_replace(regexp_replace(file, '^.*/', ''), '\.[a-z]+$', ''), '^test_', '') AS stem, starts_with(file, 'tests/') OR contains(file, '/__tests__/') AS test FROM symbols)
  SELECT a.file, b.file AS test_file FROM f a JOIN f b ON a.dir = b.dir AND a.stem = b.stem WHERE NOT a.test AND b.test""")
 def j32(t):
-    """Test files of the same folder and stem."""
-    f = t("symbols").select("file").distinct().select("file", F.regexp_replace(F.regexp_replace("file", "^(src|tests)/", ""), "/[^/]*$", "").alias("dir"), F.regexp_replace(F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"\.[a-z]+$", ""), "^test_", "").alias("stem"), F.col("file").startswith("tests/").alias("test"))
+    """Test files of the same stem, in the same folder or its `__tests__`."""
+    f = t("symbols").select("file").distinct().select("file", F.regexp_replace(F.regexp_replace(F.regexp_replace("file", "^(src|tests)/", ""), "/[^/]*$", ""), "/__tests__$", "").alias("dir"), F.regexp_replace(F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"\.[a-z]+$", ""), "^test_", "").alias("stem"), (F.col("file").startswith("tests/") | F.contains("file", F.lit("/__tests__/"))).alias("test"))
     return f.where("NOT test").join(f.where("test").select("dir", "stem", F.col("file").alias("test_file")), ["dir", "stem"]).select("file", "test_file")
 
 
