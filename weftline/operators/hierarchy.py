@@ -28,22 +28,23 @@ SIBLING_GROUPS = 64
 
 
 def _numbered(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(id, k, label)`` and ``(id, pid)``: keys as 64-bit hashes, which make the rounds' rows
-    small. Parents that are no nodes become null. Where two keys share a hash (checked) another
-    seed is taken, so the numbers are exact."""
+    """``(id, k, label)`` and ``(id, pid, kids)``: keys as 64-bit hashes, which make the rounds' rows
+    small. Parents that are no nodes become null; ``kids`` is the number of children. Where two keys
+    share a hash (checked) another seed is taken, so the numbers are exact."""
     for seed in range(100):
         at = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
         named = cut(nodes.select(at(F.col("k")).alias("id"), F.when(F.col("parent").isNotNull(), at(F.col("parent"))).alias("pid"), "k", "label"))
-        # Nodes by number, met by their children; keys that share a number are found on the way.
-        own = named.groupBy(F.col("id").alias("pid")).agg(F.count(F.lit(1)).alias("there"))
-        links = cut(named.select("id", "pid").join(own, "pid", "left").select("id", F.when(F.col("there") > 0, F.col("pid")).alias("pid")))
-        twice = cut(links.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), None, n=F.count(F.lit(1)))
-        clash = seen(twice, "n")
-        drop(twice)
-        if not clash:
-            return named.select("id", "k", "label"), links
+        # Each link is sent to both its ends at once: who is a node, how often, and how many point at it.
+        own = F.struct("id", "pid", F.lit(1).alias("own"), F.lit(0).alias("kid"))
+        told = F.struct(F.col("pid").alias("id"), F.lit(None).cast("long").alias("pid"), F.lit(0).alias("own"), F.lit(1).alias("kid"))
+        ends = named.select(F.inline(F.array(own, told))).where("id IS NOT NULL")
+        table = cut(ends.groupBy("id").agg(F.max("pid").alias("pid"), F.sum("own").alias("own"), F.sum("kid").alias("kids")), None, most=F.max("own"))
+        if seen(table, "most") <= 1:
+            there = table.where("own = 1").select(F.col("id").alias("pid"), F.lit(True).alias("there"))
+            links = table.where("own = 1").join(there, "pid", "left").select("id", F.when(F.col("there"), F.col("pid")).alias("pid"), "kids")
+            return named.select("id", "k", "label"), cut(links, table, active=F.count("pid"))
         drop(named)
-        drop(links)
+        drop(table)
     raise ValueError("keys are not distinct")
 
 
@@ -61,15 +62,15 @@ def _pointers(links: DataFrame) -> DataFrame:
 
 
 def separate(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``nodes (id, pid)`` with distinct ``id``; ``pid`` null or another ``id``.
+    """``nodes (id, pid, kids)`` of :func:`_numbered`; ``pid`` null or another ``id``.
 
     Gives ``(id, more)``, the subtree sizes without the node itself of those that have
     descendants (in pieces to be added up), and the nodes without root as ``(id, depth)``, -1 on
     a loop and -2 below one (None if there are none). Each round handles only the nodes deeper
     than 2^round, so the work is in proportion to the sum of the logarithms of the depths.
     """
-    now = _pointers(nodes.where("pid IS NOT NULL").select("id", F.col("pid").alias("up"), F.lit(1).cast("long").alias("size")))
-    pieces, n = now.where("more > 0").select("id", "more"), seen(now, "active")
+    now, n = nodes.select("id", F.col("pid").alias("up"), F.lit(1).cast("long").alias("size"), F.col("kids").cast("long").alias("more")), seen(nodes, "active")
+    pieces = now.where("more > 0").select("id", "more")
     for _ in range(MOST_ROUNDS):
         if not n:
             return pieces, None
@@ -148,7 +149,7 @@ def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, se
     names, links = _numbered(nodes.select("k", "parent", label.alias("label")))
     pieces, looped = separate(links)
     sizes = pieces.groupBy("id").agg(F.sum("more").alias("more"))
-    trees = links
+    trees = links.select("id", "pid")
     if looped is not None:
         looped = cut(looped)
         trees = trees.join(looped.select("id"), "id", "left_anti")
@@ -160,8 +161,9 @@ def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, se
     # The child with the largest subtree carries its parent's chain on.
     best = trees.where("pid IS NOT NULL").groupBy("pid").agg(F.max(F.struct("size", "id")).alias("b")).select(F.col("b.id").alias("id"), F.lit(True).alias("heavy"))
     trees = cut(trees.join(best, "id", "left").select("id", "pid", "label", "size", F.coalesce("heavy", F.lit(False)).alias("heavy")), trees)
-    # Light leaves are chains of one node from which nothing hangs: they are added last.
-    leaf = "size = 1 AND NOT heavy AND pid IS NOT NULL"
+    # Nothing hangs from a leaf. It is added last, behind its parent: the heavy one ends its
+    # parent's chain, a light one is a chain of its own.
+    leaf = "size = 1 AND pid IS NOT NULL"
     inner = trees.where(f"NOT ({leaf})")
     run = _chains(inner, sep)
 
@@ -194,13 +196,15 @@ def hierarchy(nodes: DataFrame, paths: bool = False, intervals: bool = False, se
         cols.append((F.col("pre") + F.col("place")).alias("tree_pre"))
         kinds["tree_pre"] = "long"
     out = cut(run.join(chain.withColumnRenamed("chain", "head"), "head").select(*cols))
-    leaves = trees.where(leaf).select(F.col("id").alias("leaf"), F.col("pid").alias("id"), "label")
+    leaves = trees.where(leaf).select(F.col("id").alias("leaf"), F.col("pid").alias("id"), "label", "heavy")
     if intervals:
-        leaves = leaves.join(off.withColumnRenamed("id", "leaf"), "leaf")
+        leaves = leaves.join(off.withColumnRenamed("id", "leaf"), "leaf", "left")
     hung = leaves.join(out, "id")
-    lcols = [F.col("leaf").alias("id"), "rid", (F.col("depth") + 1).alias("depth"), F.col("leaf").alias("chain"), F.lit(0).cast("long").alias("place")]
+    heavy = F.col("heavy")
+    lcols = [F.col("leaf").alias("id"), "rid", (F.col("depth") + 1).alias("depth"), F.when(heavy, F.col("chain")).otherwise(F.col("leaf")).alias("chain"), F.when(heavy, F.col("place") + 1).otherwise(F.lit(0).cast("long")).alias("place")]
     lcols += [F.concat_ws(sep, "path", "label").alias("path")] if paths else []
-    lcols += [(F.col("tree_pre") + F.col("off")).alias("tree_pre")] if intervals else []
+    # The heavy child comes right behind its parent.
+    lcols += [(F.col("tree_pre") + F.coalesce("off", F.lit(1))).alias("tree_pre")] if intervals else []
     out = out.unionByName(hung.select(*lcols))
     out = out.join(trees.select("id", F.col("size").alias("subtree")), "id") if intervals else out.withColumn("subtree", F.lit(None).cast("long"))
     kinds["subtree"] = "long"
