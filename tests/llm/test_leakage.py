@@ -120,3 +120,11 @@ def test_long_tags_and_run_together_words(spark):
 
 def test_in_place():
     assert L.in_place([(0, 1), (10, 2), (100, 3), (300, 4)], 20) == {1, 2} and L.in_place([], 5) == set()
+
+
+def test_word_counts_with_and_without_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "One two two."), (2, "TWO three"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two four"), (2, "one two")], "item_id long, words string")
+    for most in (200_000, 1):
+        monkeypatch.setattr(L, "MOST_WORDS", most)
+        assert {r["w"]: r["n"] for r in L._word_counts(texts, items).collect()} == {"one": 1, "two": 2}

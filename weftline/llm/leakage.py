@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scale import checked_broadcast, cut
+from weftline.functions.scale import cut, small_or_none
 
 #: Words in a shingle, in a stretch, in all stretches; words of which one may be altered or left out.
 SHINGLE, STRETCH, LEAST_WORDS, ONE_IN = 5, 15, 20, 8
@@ -240,11 +240,19 @@ def _normalised(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long"), "text").mapInArrow(run, f"{key} long, words string")
 
 
+#: Distinct words of all items that are sent to every task; beyond it the counts are joined by shuffle.
+MOST_WORDS = 200_000
+
+
 def _word_counts(texts: DataFrame, items: DataFrame) -> DataFrame:
     """``w, n``: in how many documents each word of the items stands. Each task sends a word once."""
     known = items.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).distinct()
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    return texts.select(F.explode(words).alias("w")).join(checked_broadcast(known, 200_000), "w").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))
+    counted = lambda df: df.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    few = small_or_none(known, MOST_WORDS)
+    if few is None:
+        return counted(words).join(known, "w")
+    return counted(words.join(F.broadcast(texts.sparkSession.createDataFrame(few, known.schema)), "w"))
 
 
 def _prefixes(items: list[tuple[int, list[str]]], counts: dict[str, int]) -> tuple[dict[str, list[int]], dict[int, list[str]]]:
