@@ -110,3 +110,17 @@ def test_first_of(spark):
     df = frame(spark, [("k", f"v{i % 40:02}") for i in range(100)] + [("one", "x"), ("none", None), (None, "y")], "key string, v string")
     got = {r["key"]: tuple(r)[1:] for r in aggregates.first_of(df, ["key"], "v", 3, "head").collect()}
     assert got == {"k": ("v00,v01,v02", 40, 37), "one": ("x", 1, 0), None: ("y", 1, 0)}
+
+
+def test_template_join_loses_no_case(spark):
+    import re
+
+    rnd = random.Random(9)
+    title = lambda w: "-".join(rnd.choice(w) for _ in range(rnd.randrange(1, 5)))
+    templates = {f"{rnd.choice(['a.b', 'a'])}.{title(['_', '_', 'add', 'sub', 'x+'])}" for _ in range(60)} | {"_", "add-_"}
+    cases = {f"{rnd.choice(['a.b', 'a'])}.{title(['add', 'sub', 'x+', 'x', '1'])}" for _ in range(80)} | {"add-one", "add"}
+    split = lambda s: (s.rpartition(".")[0], s.rpartition(".")[2])
+    pattern = lambda t: "-".join(r"[a-z0-9]+?(?:-[a-z0-9]+)*?" if p == "_" else re.escape(p) for p in t.split("-"))
+    want = {(t, c) for t in templates if "_" in split(t)[1].split("-") for c in cases if split(t)[0] == split(c)[0] and re.fullmatch(pattern(split(t)[1]), split(c)[1])}
+    got = [tuple(r) for r in joins.template_join(frame(spark, [(t,) for t in templates], "ref string"), frame(spark, [(c,) for c in cases], "case string"), "ref", "case").collect()]
+    assert set(got) == want and len(got) == len(want) > 20

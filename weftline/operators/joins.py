@@ -101,11 +101,21 @@ def template_regex(name: Column) -> Column:
 
 
 def template_join(templates: DataFrame, cases: DataFrame, ref: str, case: str) -> DataFrame:
-    """Templates with the cases they expand to, blocked on the dotted path before the title: ``ref, case``."""
+    """Templates with the cases they expand to: ``ref, case``.
+
+    Blocked on the dotted path before the title and on the title's first word, or its last one
+    where the first is a placeholder; only templates with placeholders at both ends meet all titles
+    of their path.
+    """
     head = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
-    t = templates.select(F.col(ref).alias("ref")).distinct().where(F.col("ref").rlike(r"(^|[.-])_(-|$)")).select("ref", head(F.col("ref")).alias("h"), template_regex(F.col("ref")).alias("x"))
-    c = cases.select(F.col(case).alias("case")).distinct().select("case", head(F.col("case")).alias("h"), F.regexp_extract("case", r"([^.]*)$", 1).alias("title"))
-    return t.join(c, "h").where(F.expr("title rlike x")).select("ref", "case")
+    title = lambda c: F.regexp_extract(c, r"([^.]*)$", 1)
+    first, last = (lambda c: F.substring_index(c, "-", 1)), (lambda c: F.substring_index(c, "-", -1))
+    t = templates.select(F.col(ref).alias("ref")).distinct().where(F.col("ref").rlike(r"(^|[.-])_(-|$)")).select("ref", head(F.col("ref")).alias("h"), title(F.col("ref")).alias("w"), template_regex(F.col("ref")).alias("x"))
+    by = F.when(first("w") != "_", "first").when(last("w") != "_", "last").otherwise("any")
+    t = t.withColumn("by", by).withColumn("word", F.when(F.col("by") == "first", first("w")).when(F.col("by") == "last", last("w")).otherwise(""))
+    c = cases.select(F.col(case).alias("case")).distinct().select("case", head(F.col("case")).alias("h"), title(F.col("case")).alias("title"))
+    ways = F.array(*(F.struct(F.lit(n).alias("by"), w.alias("word")) for n, w in (("first", first("title")), ("last", last("title")), ("any", F.lit("")))))
+    return t.join(c.select("case", "h", "title", F.inline(ways)), ["h", "by", "word"]).where(F.expr("title rlike x")).select("ref", "case")
 
 
 def route_join(calls: DataFrame, routes: DataFrame, method: str = "method", path: str = "path") -> DataFrame:
