@@ -21,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where no such folder is set and all runs in one process, as in local tests, a temporary one is.
+    Only where no such folder is set and all runs on one machine, as in local tests, a temporary one is.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not named and not re.fullmatch(r"local(-cluster)?(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
